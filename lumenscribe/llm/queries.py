@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lumenscribe.llm import mixing, sharding
+from lumenscribe.llm import licenses, mixing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
+    "op8_license_scans": licenses.op8_license_scans,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
+    "op2_warc": warc.SQL,
     "op3_mixing": mixing.SQL,
+    "op8_license_scans": licenses.SQL,
 }
