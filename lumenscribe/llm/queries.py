@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenscribe.llm import decontam, fingerprints, licenses, mixing, near_dup, sharding, substring, token_counts, warc
+from lumenscribe.llm import decontam, fingerprints, licenses, mixing, near_dup, sharding, substring, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_license_scans": licenses.op8_license_scans,
     "op9_token_counts": token_counts.op9_token_counts,
