@@ -53,8 +53,9 @@ def box_file(boxes: Column) -> Column:
 def tess_file(boxes: Column, text: Column) -> Column:
     """A line: character, box, 0; as many as the shorter of both."""
     n = F.least(F.size(boxes), F.char_length(text))
-    line = lambda k: F.concat(text.substr(k, F.lit(1)), F.lit(" "), box_line(F.element_at(boxes, k)), F.lit(" 0\n"))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), line), "")).otherwise(F.lit(""))
+    line = lambda b, c: F.concat(c, F.lit(" "), box_line(b), F.lit(" 0\n"))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_join(F.zip_with(F.slice(boxes, F.lit(1), n), F.slice(letters, F.lit(1), n), line), "")
 
 
 def parse_margins(text: str) -> tuple[int, int, int, int]:

@@ -1,8 +1,8 @@
 """Text layout without pixels: advances, ink, tone lift, character boxes, canvas.
 
-Glyph metrics are looked up per code point and laid out inside each row's array, so a
-layout never shuffles glyphs. The running sum of a line's advances is one Arrow kernel
-(a window over exploded glyphs would shuffle every one of them).
+Glyphs are laid out by an Arrow kernel over the code points of all texts of a batch: a
+window over exploded glyphs would shuffle every one of them, and higher-order functions
+would interpret each.
 """
 
 from __future__ import annotations
@@ -27,47 +27,74 @@ def running_start(steps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(total[:-1] - total[owner]))
 
 
-def grid_metrics(char: Column) -> Column:
-    """advance and ink (x1, y1, x2, y2, y upwards) of a face that is drawn by rule: it needs no font."""
-    code, space = F.ascii(char), char.rlike(r"^\s$")
-    ink = F.struct(F.lit(1.0).alias("x1"), ((code % 3) - 1).cast("double").alias("y1"), (F.lit(3.0) + code % 5).alias("x2"), ((code % 3) + 4 + code % 4).cast("double").alias("y2"))
-    return F.struct(F.when(space, F.lit(4.0)).otherwise((code % 5 + 4).cast("double")).alias("advance"), F.when(~space, ink).alias("ink"))
+def grid_metrics(codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """advance, whether there is ink, and its x1, y1, x2, y2 (y upwards) of code points, in a face drawn by rule: it needs no font."""
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    return np.where(space, 4, codes % 5 + 4), ~space, np.ones(len(codes)), codes % 3 - 1, 3 + codes % 5, codes % 3 + 4 + codes % 4
 
 
 def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def laid_out(df: DataFrame, text: str, size: int, character_spacing: int = 0, metrics=grid_metrics, name: str = "layout") -> DataFrame:
-    """df with a struct: canvas width and height, and glyphs (k, char, x, advance, box) with ink.
+_INT, _REAL = T.LongType(), T.DoubleType()
+_SIDES = T.StructType([T.StructField(k, _INT) for k in ("x1", "y1", "x2", "y2")])
+_GLYPH = T.StructType().add("k", T.IntegerType()).add("char", T.StringType()).add("x", _REAL).add("advance", _REAL).add("box", _SIDES)
+_LAYOUT = T.StructType().add("width", _INT).add("height", _INT).add("n_glyphs", T.IntegerType()).add("hull", _SIDES).add("glyphs", T.ArrayType(_GLYPH))
 
-    k counts glyphs with ink from 1, box is theirs on the canvas, y downwards.
+
+def _place(texts: pa.Array, metrics, size: int, spacing: int, glyphs: bool) -> pa.Array:
+    """Layouts of all texts of a batch at once; a null one is laid out as an empty one."""
+    rows = [t or "" for t in texts.to_pylist()]
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    offsets, line = np.append(0, np.cumsum(n)), np.repeat(np.arange(len(n)), n)
+    advance, drawn, x1, y1, x2, y2 = metrics(codes)
+    advance = advance.astype(float) + spacing
+    total = np.append(0.0, np.cumsum(advance))
+    x = total[:-1] - total[offsets[:-1]][line]
+    # an inkless glyph of some width counts as a box of its advance
+    spans = (x + np.where(drawn, x1, 0), np.where(drawn, y1, 0), x + np.where(drawn, x2, advance), np.where(drawn, y2, size * INKLESS_HEIGHT))
+    folds = (np.minimum, np.minimum, np.maximum, np.maximum)
+    have, extent = np.flatnonzero(n), [np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n)), np.full(len(n), float(size))]
+    for out, span, fold in zip(extent, spans, folds):
+        if len(have):
+            out[have] = fold.reduceat(span, offsets[:-1][have])
+    left, low, right, top = extent
+    g, before = np.flatnonzero(drawn), np.append(0, np.cumsum(drawn))
+    at, above, begins = x[g] - left[line[g]], top[line[g]], before[offsets]
+    sides = [np.trunc(v).astype(np.int64) for v in (at + x1[g], above - y2[g], at + x2[g], above - y1[g])]
+    inked, hull = np.flatnonzero(np.diff(begins)), [np.zeros(len(n), np.int64) for _ in folds]
+    for out, side, fold in zip(hull, sides, folds):
+        if len(inked):
+            out[inked] = fold.reduceat(side, begins[:-1][inked])
+    count = np.diff(begins).astype(np.int32)
+    boxed = lambda parts, mask=None: pa.StructArray.from_arrays([pa.array(v) for v in parts], ["x1", "y1", "x2", "y2"], mask=mask)
+    ceil = lambda v: pa.array(np.ceil(v).astype(np.int64))
+    if glyphs:
+        some, which = np.unique(codes[g], return_inverse=True)
+        chars = pa.array([chr(c) for c in some], pa.string()).take(pa.array(which.astype(np.int64)))
+        k = (before[g + 1] - begins[:-1][line[g]]).astype(np.int32)
+        each = pa.StructArray.from_arrays([pa.array(k), chars, pa.array(x[g]), pa.array(advance[g]), boxed(sides)], ["k", "char", "x", "advance", "box"])
+        listed = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), each)
+    else:
+        listed = pa.nulls(len(n), pa.list_(pa.struct([("k", pa.int32()), ("char", pa.string()), ("x", pa.float64()), ("advance", pa.float64()), ("box", boxed(hull).type)])))
+    return pa.StructArray.from_arrays([ceil(right - left), ceil(top - low), pa.array(count), boxed(hull, pa.array(count == 0)), listed], ["width", "height", "n_glyphs", "hull", "glyphs"])
+
+
+def laid_out(df: DataFrame, text: str, size: int, character_spacing: int = 0, metrics=grid_metrics, name: str = "layout", glyphs: bool = True) -> DataFrame:
+    """df with a struct: canvas width and height, n_glyphs and hull of those with ink, and the glyphs.
+
+    A glyph has k (counted from 1 over those with ink), char, x, advance and box, on the
+    canvas, y downwards. Without glyphs their list is null and is not built.
     """
     spacing = max(character_spacing, 0)
-    glyphs = df.withColumn("__g", F.transform(chars(F.col(text)), lambda c: F.struct(c.alias("char"), metrics(c).alias("m"))))
-    glyphs = glyphs.withColumn("__x", running_start(F.transform("__g", lambda g: g["m"]["advance"] + spacing)))
-    # an inkless glyph of some width counts as a box of its advance
-    shape = lambda g, x: F.struct(x.alias("x"), g["char"].alias("char"), g["m"]["ink"].alias("ink"), (g["m"]["advance"] + spacing).alias("advance"))
-    glyphs = glyphs.withColumn("__g", F.zip_with("__g", "__x", shape))
-    side = lambda of, fallback: F.transform("__g", lambda g: F.when(g["ink"].isNotNull(), of(g)).otherwise(fallback(g)))
-    extent = F.struct(
-        F.coalesce(F.array_min(side(lambda g: g["x"] + g["ink"]["x1"], lambda g: g["x"])), F.lit(0.0)).alias("x1"),
-        F.coalesce(F.array_max(side(lambda g: g["x"] + g["ink"]["x2"], lambda g: g["x"] + g["advance"])), F.lit(1.0)).alias("x2"),
-        F.coalesce(F.array_min(side(lambda g: g["ink"]["y1"], lambda g: F.lit(0.0))), F.lit(0.0)).alias("y1"),
-        F.coalesce(F.array_max(side(lambda g: g["ink"]["y2"], lambda g: F.lit(size * INKLESS_HEIGHT))), F.lit(float(size))).alias("y2"),
-    )
-    glyphs = glyphs.withColumn("__e", extent)
-    whole = lambda v: v.cast("bigint")  # truncates
-    e = F.col("__e")
-
-    def boxed(g: Column, k: Column) -> Column:
-        at = g["x"] - e["x1"]
-        b = F.struct(whole(at + g["ink"]["x1"]).alias("x1"), whole(e["y2"] - g["ink"]["y2"]).alias("y1"), whole(at + g["ink"]["x2"]).alias("x2"), whole(e["y2"] - g["ink"]["y1"]).alias("y2"))
-        return F.struct((k + 1).alias("k"), g["char"].alias("char"), g["x"].alias("x"), g["advance"].alias("advance"), b.alias("box"))
-
-    inked = F.transform(F.filter("__g", lambda g: g["ink"].isNotNull()), boxed)
-    out = F.struct(F.ceil(e["x2"] - e["x1"]).cast("bigint").alias("width"), F.ceil(e["y2"] - e["y1"]).cast("bigint").alias("height"), inked.alias("glyphs"))
-    return glyphs.withColumn(name, out).drop("__g", "__x", "__e")
+
+    @F.arrow_udf(_LAYOUT)
+    def place(texts: pa.Array) -> pa.Array:
+        return _place(texts, metrics, size, spacing, glyphs)
+
+    return df.withColumn(name, place(F.col(text)))
 
 
 def tone_lift(items: Column, size: float) -> Column:

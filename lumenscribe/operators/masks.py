@@ -27,15 +27,15 @@ def boxes(extents: Column, width: Column, height: Column, tess: bool = False) ->
     and without k = 1 it is empty. tess: y counts from the bottom.
     """
     e = F.array_sort(extents)
-    indexed = F.transform(e, lambda x, i: F.struct(x.alias("e"), i.alias("i")))
-    stop = F.filter(indexed, lambda p: F.when(p["i"] == 0, p["e"]["k"] != 1).otherwise(p["e"]["k"] - F.get(e, p["i"] - 1)["k"] > 2))
-    n = F.coalesce(F.get(stop, F.lit(0))["i"], F.size(e))
-    kept = F.slice(indexed, F.lit(1), n)
+    none = F.slice(F.transform(F.slice(e, 1, 1), lambda x: F.when(x.isNull(), x)), 1, 1)  # the first has none before it
+    pairs = F.slice(F.zip_with(e, F.concat(none, e), lambda x, last: F.struct(x.alias("e"), last.alias("last"))), F.lit(1), F.size(e))
+    stops = F.transform(pairs, lambda p: F.when(p["last"].isNull(), p["e"]["k"] != 1).otherwise(p["e"]["k"] - p["last"]["k"] > 2))
+    first = F.array_position(stops, True)
+    kept = F.slice(pairs, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(e)).cast("int"))
 
     def both(p: Column) -> Column:
         own = F.array(_grown(p["e"], width, height, tess))
-        last = F.get(e, p["i"] - 1)
-        gap = F.array(_gap(_grown(last, width, height, tess), p["e"], height, tess))
-        return F.when((p["i"] > 0) & (p["e"]["k"] - last["k"] == 2), F.concat(gap, own)).otherwise(own)
+        gap = F.array(_gap(_grown(p["last"], width, height, tess), p["e"], height, tess))
+        return F.when(p["e"]["k"] - p["last"]["k"] == 2, F.concat(gap, own)).otherwise(own)
 
     return F.flatten(F.transform(kept, both))

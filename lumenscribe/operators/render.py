@@ -392,7 +392,7 @@ def rendered(requests: DataFrame, params: Params, seed: int) -> DataFrame:
         faces: dict = {None: GridFace()}
         latin = FontFace(params.latin_font) if params.latin_font else None
         pictures = load_pictures(params.image_dir) if params.background_type > 2 else []
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ") if ":" not in f]
+        names = "idx text font file_name bucket width height image mask boxes char_positions text_offset".split()
         for pdf in batches:
             out = []
             for idx, text, font in zip(pdf["idx"], pdf["text"], pdf["font"]):

@@ -68,9 +68,8 @@ from glyphs group by doc_id, line
 """)
 def word_polygons(spark, sf_dir):
     """Canvas and the polygon around the glyphs of every line of every document; no shuffle."""
-    rows = layout.laid_out(document_lines(spark, sf_dir), "text", SIZE).where(F.size("layout.glyphs") > 0)
-    side = lambda k, of: of(F.transform("layout.glyphs", lambda g: g["box"][k])).alias(k)
-    return rows.select("doc_id", "line", F.size("layout.glyphs").alias("n_glyphs"), "layout.width", "layout.height", side("x1", F.array_min), side("y1", F.array_min), side("x2", F.array_max), side("y2", F.array_max))
+    rows = layout.laid_out(document_lines(spark, sf_dir), "text", SIZE, glyphs=False).where("layout.n_glyphs > 0")
+    return rows.select("doc_id", "line", "layout.n_glyphs", "layout.width", "layout.height", "layout.hull.*")
 
 
 @query("""
