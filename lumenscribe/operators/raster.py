@@ -23,24 +23,27 @@ def draw(seed: int, key: int, tag: str) -> np.random.Generator:
 
 def fill(contours: list[np.ndarray], width: int, height: int, detail: int = 4) -> np.ndarray:
     """Coverage 0..1 of closed outlines (points x, y in pixels, y downwards), by the non-zero rule."""
-    area = np.zeros((height * detail, width * detail + 1), np.float32)
     edges = [np.hstack([c, np.roll(c, -1, axis=0)]) for c in contours if len(c) > 2]
     if not edges or not width or not height:
         return np.zeros((height, width), np.float32)
-    e = np.concatenate(edges) * detail
-    for row in range(height * detail):
-        y = row + 0.5
-        hit = (e[:, 1] <= y) != (e[:, 3] <= y)
-        if not hit.any():
-            continue
-        x1, y1, x2, y2 = e[hit].T
-        x = x1 + (y - y1) * (x2 - x1) / (y2 - y1)
-        order = np.argsort(x)
-        winding = np.cumsum(np.where(y2 > y1, 1, -1)[order])
-        for a, b, w in zip(x[order][:-1], x[order][1:], winding[:-1]):
-            if w:
-                area[row, min(max(round(a), 0), width * detail) : min(max(round(b), 0), width * detail)] = 1
-    return area[:, :-1].reshape(height, detail, width, detail).mean(axis=(1, 3))
+    x1, y1, x2, y2 = (np.concatenate(edges) * detail).T
+    # every edge crosses the rows whose middles lie between its ends
+    top, bottom = np.ceil(np.minimum(y1, y2) - 0.5).astype(int), np.ceil(np.maximum(y1, y2) - 0.5).astype(int)
+    top, bottom = np.clip(top, 0, height * detail), np.clip(bottom, 0, height * detail)
+    n = bottom - top
+    e = np.repeat(np.arange(len(n)), n)
+    row = top[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+    x = x1[e] + (row + 0.5 - y1[e]) * (x2[e] - x1[e]) / (y2[e] - y1[e])
+    order = np.lexsort((x, row))
+    row, x, way = row[order], np.clip(np.rint(x[order]), 0, width * detail).astype(int), np.where(y2 > y1, 1, -1)[e][order]
+    # outlines are closed, so a row's crossings add up to nothing and rows can share a sum
+    winding = np.cumsum(way)
+    inside = np.flatnonzero((winding[:-1] != 0) & (row[1:] == row[:-1]))
+    steps = np.zeros((height * detail, width * detail + 1), np.int32)
+    np.add.at(steps, (row[inside], x[inside]), 1)
+    np.add.at(steps, (row[inside], x[inside + 1]), -1)
+    area = (np.cumsum(steps, axis=1)[:, :-1] > 0).astype(np.float32)
+    return area.reshape(height, detail, width, detail).mean(axis=(1, 3))
 
 
 def gaussian_noise(height: int, width: int, rng: np.random.Generator) -> np.ndarray:
@@ -88,13 +91,14 @@ def _lanczos(size: int, new: int) -> np.ndarray:
     at = ((np.arange(new) + 0.5) * size / new)[:, None]
     x = (np.arange(size)[None, :] + 0.5 - at) / scale
     w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
-    return w / w.sum(1, keepdims=True)
+    return (w / w.sum(1, keepdims=True)).astype(np.float32)
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     flat = image if image.ndim == 3 else image[:, :, None]
-    out = np.einsum("yh,hwc->ywc", _lanczos(flat.shape[0], height), flat.astype(np.float64))
-    out = np.einsum("xw,ywc->yxc", _lanczos(flat.shape[1], width), out)
+    h, w, n = flat.shape
+    out = (_lanczos(h, height) @ flat.astype(np.float32).reshape(h, w * n)).reshape(height, w, n)
+    out = _lanczos(w, width) @ out
     out = np.clip(np.rint(out), 0, 255).astype(np.uint8)
     return out if image.ndim == 3 else out[:, :, 0]
 

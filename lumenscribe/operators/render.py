@@ -378,11 +378,12 @@ def mask_boxes(extents: list[tuple], width: int, height: int, tess: bool = False
     return out
 
 
-def rendered(requests: DataFrame, params: Params, seed: int) -> DataFrame:
+def rendered(requests: DataFrame, params: Params, seed: int, rows_per_task: int = 500) -> DataFrame:
     """Samples of requests (idx, text, and font: a path that executors can read; without it the rule-drawn face).
 
-    Samples that can't be drawn are left out. No shuffle; rows of a batch are drawn one
-    by one, so memory holds a batch's encoded images.
+    Samples that can't be drawn are left out. Drawing takes some 20 ms a sample, so the
+    requests, which are small, are first spread over tasks of about rows_per_task;
+    images never move. Memory holds a few hundred encoded images.
     """
     params = params.checked()
     if "font" not in requests.columns:
@@ -408,7 +409,8 @@ def rendered(requests: DataFrame, params: Params, seed: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return requests.select(F.col("idx").cast("bigint").alias("idx"), "text", "font").mapInPandas(run, SCHEMA)
+    narrow = requests.select(F.col("idx").cast("bigint").alias("idx"), "text", "font")
+    return narrow.repartition(max(1, -(-narrow.count() // rows_per_task)), "idx").mapInPandas(run, SCHEMA)
 
 
 def load_pictures(folder: str) -> list[np.ndarray]:

@@ -26,7 +26,8 @@ class TrueType:
         self.advances = np.append(metrics, np.full(max(0, self.count - n), metrics[-1]))
         loca = self.table("loca")
         self.loca = np.frombuffer(loca, ">u4")[: self.count + 1].astype(int) if self.long else np.frombuffer(loca, ">u2")[: self.count + 1].astype(int) * 2
-        self.cmap, self.names = self._cmap(), self._names()
+        self.cmap = self._cmap()
+        self.names = self._names()
         self.index = {name: k for k, name in enumerate(self.names)}
 
     @classmethod
