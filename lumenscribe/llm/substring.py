@@ -8,8 +8,9 @@ window whose anchor it holds for single is single. Pass 2: only windows whose an
 is estimated repeated are grouped, exactly, by window hash: those in two documents or
 more are repeated. Runs of them become spans of words.
 
-The sketch is sized by the input's bytes up to ``max_cells``; beyond that more windows
-reach pass 2, and the result stays the same.
+The sketch is sized by the input's bytes up to ``max_cells`` a row (128 MB of bits at the
+default, reached at 8 GB of text); beyond that more windows reach pass 2, and the result
+stays the same. A partition holds and sends only the cells that it touches.
 
 Defined cases: null and short texts have no windows; a null id takes no part; rows
 that repeat an id are one document, so they don't repeat each other; an empty table
@@ -30,7 +31,7 @@ from lumenscribe.llm.common import col
 from lumenscribe.llm.kernels import WORD_RE, Texts, Words, mix, sliding_min
 
 WINDOW, RUN, ROWS = 50, 25, 2
-BYTES_PER_CELL, MIN_CELLS, MAX_CELLS, BLOCK = 16, 1 << 20, 1 << 27, 1 << 16
+BYTES_PER_CELL, MIN_CELLS, MAX_CELLS, BLOCK = 16, 1 << 20, 1 << 29, 1 << 16
 U = np.uint64
 
 
@@ -65,41 +66,43 @@ def merged_sketch(narrow: DataFrame, width: int) -> np.ndarray:
     """Bits [row, cell // 8] of the cells counted at least twice in all partitions together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        # only the cells that the partition touches are held: twice the cell, plus 1 if it is counted twice
+        seen: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         for batch in batches:
             texts = Texts(batch.column(1))
             for lo, hi in texts.slices():
                 _, doc, anchor = anchors(texts.words(lo, hi))
-                if not len(anchor):
-                    continue
-                counts = np.zeros((ROWS, width), np.uint8) if counts is None else counts
                 anchor = anchor[_runs(anchor, doc)]
                 for row in range(ROWS):
                     cell, n = np.unique(cells(anchor, row, width), return_counts=True)
-                    counts[row, cell] = np.minimum(counts[row, cell] + np.minimum(n, 2), 2)
-        if counts is None:
-            return
-        blocks = counts.reshape(-1, BLOCK)
-        for k in np.flatnonzero(blocks.any(axis=1)):
-            four = blocks[k].reshape(-1, 4)
-            packed = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-            yield pa.record_batch([pa.array([int(k)], pa.int64()), pa.array([zlib.compress(packed.tobytes(), 1)])], names=["block", "part"])
+                    seen[row].append(cell * 2 + (n > 1))
+        for row in range(ROWS):
+            packed = np.sort(np.concatenate(seen[row] or [np.zeros(0, np.int64)]))
+            first = _runs(packed >> 1)
+            cell, again = packed[first] >> 1, np.diff(np.append(first, len(packed))) > 1
+            again |= (packed[first] & 1).astype(bool)
+            begin = _runs(cell // BLOCK)
+            for lo, hi in zip(begin, np.append(begin[1:], len(cell))):
+                at, two = (cell[lo:hi] % BLOCK).astype("<u2"), again[lo:hi]
+                body = np.concatenate([at[~two], at[two]]).tobytes()
+                yield pa.record_batch([pa.array([int(cell[lo] + row * width) // BLOCK], pa.int64()), pa.array([int(two.sum())], pa.int32()), pa.array([zlib.compress(body, 1)])], names=["block", "twice", "part"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
         give = lambda: pa.record_batch([pa.array([at], pa.int64()), pa.array([zlib.compress(np.packbits(total > 1).tobytes(), 1)])], names=["block", "bits"])
         for batch in batches:
-            for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for block, twice, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != at:
                     if at is not None:
                         yield give()
                     at, total = block, np.zeros(BLOCK, np.uint8)
-                packed = np.frombuffer(zlib.decompress(part), np.uint8)
-                total = np.minimum(total + np.stack([packed >> s & 3 for s in (0, 2, 4, 6)], axis=1).ravel(), 2)
+                place = np.frombuffer(zlib.decompress(part), "<u2")
+                total[place] = np.minimum(total[place] + 1, 2)
+                total[place[len(place) - twice :]] = 2
         if at is not None:
             yield give()
 
-    parts = narrow.mapInArrow(count, "block bigint, part binary")
+    parts = narrow.mapInArrow(count, "block bigint, twice int, part binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block bigint, bits binary")
     bits = np.zeros((ROWS * width // BLOCK, BLOCK // 8), np.uint8)
     for row in merged.collect():  # of max_cells / 4 bytes at most
