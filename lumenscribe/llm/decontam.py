@@ -35,7 +35,7 @@ from lumenscribe.llm.common import arrow_map, col, keep_ids
 from lumenscribe.llm.kernels import Texts, Words, mix
 
 WALKS, REPEATS, PLACES, EDIT_SHARE, MAX_ITEM_WORDS = 8, 24, 4, 4, 100_000
-SLICE = 16 << 20
+SLICE = 8 << 20
 PAD = np.uint64(0x5851F42D4C957F2D)
 U = np.uint64
 
@@ -142,7 +142,7 @@ class ItemIndex:
             stop = np.repeat(end, tail)
             inside[short] = total[stop] - total[short] >= least
             first = np.flatnonzero(inside)
-            for part in np.array_split(first, len(first) // 50_000 + 1):
+            for part in np.array_split(first, len(first) // 16_000 + 1):
                 self._match(words, padded, numbers, doc, part, k, found)
         return found
 
