@@ -80,7 +80,7 @@ class FromStrings(_Samples):
 class FromDict(_Samples):
     """Words of a dictionary file or list, drawn with replacement."""
 
-    def __init__(self, spark, count: int = -1, length: int = 1, allow_variable: bool = False, path: str = "", words: list[str] | None = None, **more):
+    def __init__(self, spark, count: int = -1, *, path: str = "", words: list[str] | None = None, length: int = 1, allow_variable: bool = False, **more):
         super().__init__(spark, count, **more)
         self.words = spark.createDataFrame(list(enumerate(words)), "pos bigint, word string") if words else text_sources.dictionary(spark, path)
         self.length, self.variable = length, allow_variable
@@ -92,7 +92,7 @@ class FromDict(_Samples):
 class FromRandom(_Samples):
     """Random text of letters, numbers, symbols."""
 
-    def __init__(self, spark, count: int = -1, length: int = 1, allow_variable: bool = False, use_letters: bool = True, use_numbers: bool = True, use_symbols: bool = True, language: str = "en", **more):
+    def __init__(self, spark, count: int = -1, *, language: str = "en", length: int = 1, use_letters=True, use_numbers=True, use_symbols=True, allow_variable=False, **more):
         super().__init__(spark, count, **more)
         self.how = (length, allow_variable, use_letters, use_numbers, use_symbols, language)
 

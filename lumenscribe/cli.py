@@ -108,7 +108,7 @@ def convert(spark: SparkSession, base: str, out: str, train_ratio: float = 0.8,
     for row in bad.limit(20).collect():
         print(f"cannot read {row['path']}", file=sys.stderr)
     annotated = coco.with_annotations(coco.split(good, seed, train_ratio))
-    coco.save(coco.images(annotated), coco.annotations(annotated), os.path.abspath(out), datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
+    coco.save(coco.images(annotated), coco.annotations(annotated), os.path.abspath(out), datetime.now(UTC).replace(tzinfo=None).isoformat(" ", "seconds"))
     print(json.dumps({"coco": out}))
 
 

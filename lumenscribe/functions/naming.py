@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lumenscribe.functions.draws import between
 
 BUCKET_SIZE = 5000
-FORBIDDEN = r'[<>:"/\\|?*\x00-\x1f]'
+FORBIDDEN = r'[\x00-\x1f"*/:<>?|\\]'
 DERIVED = {"mask_name": "_mask.png", "boxes_name": "_boxes.txt", "tess_name": ".box", "metadata_name": "_metadata.json"}
 COLORS = {"black": "#000000", "white": "#ffffff", "red": "#ff0000", "lime": "#00ff00", "green": "#008000", "blue": "#0000ff", "yellow": "#ffff00", "gray": "#808080", "grey": "#808080", "orange": "#ffa500", "purple": "#800080", "brown": "#a52a2a", "pink": "#ffc0cb", "cyan": "#00ffff", "magenta": "#ff00ff", "navy": "#000080"}
 

@@ -13,7 +13,7 @@ from lumenscribe.functions.glyphs import FIELDS
 from lumenscribe.operators.frontend import numbered
 from lumenscribe.session import run_dir
 
-CATEGORIES = [{"id": 1, "name": "word"}, {"id": 2, "name": "character"}]
+CATEGORIES = [dict(id=k, name=n) for k, n in enumerate(("word", "character"), 1)]
 _POSITION = "glyph_name string, grapheme string, is_upper_vowel boolean, is_lower_vowel boolean, bbox array<int>, " + ", ".join(f"{f}_bbox array<int>" for f in FIELDS)
 METADATA = f"image_id bigint, file_name string, width int, height int, text string, char_bboxes array<array<int>>, char_positions array<struct<{_POSITION.replace(' ', ':').replace(',:', ', ')}>>, text_offset array<int>"
 
@@ -90,7 +90,7 @@ def annotations(annotated: DataFrame) -> DataFrame:
 
 def json_parts(images: DataFrame, annotations: DataFrame, split_name: str, date: str, description: str = "Text detection dataset") -> Iterator[str]:
     """One split's COCO document piece by piece: rows stream through the driver, none are gathered."""
-    head = {"info": {"description": description, "version": "1.0", "year": int(date[:4]), "date_created": date}, "licenses": [], "categories": CATEGORIES}
+    head = dict(info=dict(year=int(date[:4]), date_created=date, version="1.0", description=description), categories=CATEGORIES, licenses=[])
     yield json.dumps(head, ensure_ascii=False)[:-1]
     for name, rows, order in (("images", images, "ord"), ("annotations", annotations, "id")):
         mine = rows.where(F.col("split") == split_name).orderBy(order).drop("split", "ord")

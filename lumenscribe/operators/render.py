@@ -51,7 +51,7 @@ class Params:
     orientation: int = 0
     space_width: float = 1.0
     character_spacing: int = 0
-    margins: tuple[int, int, int, int] = (5, 5, 5, 5)
+    margins: tuple[int, ...] = (5,) * 4
     fit: bool = False
     output_mask: int = 0
     word_split: bool = False
@@ -93,7 +93,7 @@ class GridFace:
             return "space", 4.0, [], []
         code = ord(char)
         x2, y1, y2 = 3.0 + code % 5, float(code % 3 - 1), float(code % 3 + 4 + code % 4)
-        return f"uni{code:04X}", float(code % 5 + 4), [np.array([(1, y1), (x2, y1), (x2, y2), (1, y2)], float)], [(self._role(char), (1.0, y1, x2, y2))]
+        return f"uni{code:04X}", float(code % 5 + 4), [np.array([[1, x2, x2, 1], [y1, y1, y2, y2]], float).T], [(self._role(char), (1.0, y1, x2, y2))]
 
     @staticmethod
     def _role(char: str) -> str:

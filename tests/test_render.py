@@ -116,7 +116,7 @@ def test_command_line(spark, tmp_path):
     before = os.stat(out / "base/0000/0.png").st_mtime_ns
     cli.main([str(out), "-i", str(source), "-na", "2", "-b", "1"], spark)
     assert os.path.exists(out / "base/0000/3.png") and os.stat(out / "base/0000/0.png").st_mtime_ns == before
-    cli.main([str(tmp_path / "r"), "-rs", "-num", "-c", "4", "-w", "2"], spark)
+    cli.main([str(tmp_path / "r"), *"-rs -num -c 4 -w 2".split()], spark)
     assert len([n for n in os.listdir(tmp_path / "r/base/0000") if n.endswith(".png")]) == 4
     with pytest.raises(SystemExit):
         cli.main([str(out), "-i", "/no/such/file"], spark)
