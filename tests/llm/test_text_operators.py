@@ -44,7 +44,7 @@ def test_token_counts_equal_the_encoding_of_whole_texts(spark, odd_docs, no_docs
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     coder = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
     more = spark.createDataFrame([(100, "It's  a \t\n\n test <|endoftext|> ’ ½ 日本語 'll\n  "), (101, " " * 50)], "doc_id bigint, text string")
-    for docs in (odd_docs.where("doc_id <> 8 or doc_id is null").select("doc_id", "text"), more):
+    for docs in (odd_docs.select("doc_id", "text"), more):
         for entries in (3, 10**6):
             got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, entries=entries).collect())
             assert got == Counter((r[0], None if r[1] is None else len(coder.encode_ordinary(r[1]))) for r in docs.collect())
