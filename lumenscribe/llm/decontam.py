@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: exact count filter, exact edit verification.
 
 Strings are sequences of words (lower case, no punctuation). A document is
 contaminated by an item of n words if some stretch of it is within n // 4 word edits
@@ -6,14 +6,12 @@ of the item. For every item length there are windows of that length at every wor
 
 1. Count filter, losing none: a stretch within k edits of an item, or the n words from
    its beginning, have n - k of the item's words, counted as often as the item has
-   them. Only such windows are embedded, and equal ones of a batch once.
-2. CGK: a random walk copies the window's word at its pointer and advances the pointer
-   by a random bit of (step, word). Two strings' walks with the same randomness differ
-   in few places if their edit distance is small. Several walks are taken.
-3. Bit sampling: each of several repetitions samples places of a walk; windows and
-   items that agree in all of a repetition's places become candidates.
-4. Candidates are verified by the exact least word edit distance between the item and
-   any stretch of the windows, widened by k words.
+   them. Equal windows of a batch are counted once.
+2. Every window left is verified by the exact least word edit distance between the item
+   and any stretch of the windows, widened by k words.
+
+Nothing between the two drops a window, so all matches are found, whatever the length
+of the item and the kind of the edits.
 
 The items are a benchmark, small beside the corpus; their index goes to every task
 and its size is checked against ``max_item_words`` (then items are taken in rounds).
@@ -34,43 +32,11 @@ from pyspark.sql import functions as F
 from lumenscribe.llm.common import arrow_map, col, keep_ids
 from lumenscribe.llm.kernels import Texts, Words, mix
 
-WALKS, REPEATS, PLACES, EDIT_SHARE, MAX_ITEM_WORDS = 8, 24, 4, 4, 100_000
+EDIT_SHARE, MAX_ITEM_WORDS = 4, 100_000
 SLICE = 8 << 20
-PAD = np.uint64(0x5851F42D4C957F2D)
 U = np.uint64
 
 
-def cgk(strings: np.ndarray, steps: int, walks: int = WALKS) -> np.ndarray:
-    """[row, walk, step]: the words that walks over each row show; PAD past the row's end."""
-    n, size = strings.shape
-    flat = np.concatenate([strings, np.full((n, 1), PAD)], axis=1).ravel()
-    begin = np.repeat(np.arange(n) * (size + 1), walks)
-    pointer, out = begin.copy(), np.empty((steps, n * walks), U)
-    seed = np.tile(mix(np.arange(1, walks + 1, dtype=U)), n)
-    for step in range(steps):
-        out[step] = word = flat[pointer]
-        pointer += (mix(word ^ (seed * U(2 * step + 1))) >> U(63)).astype(np.int64)
-        np.minimum(pointer, begin + size, out=pointer)
-    return out.reshape(steps, n, walks).transpose(1, 2, 0)
-
-
-def samples(size: int, walks: int = WALKS, repeats: int = REPEATS, places: int = PLACES) -> np.ndarray:
-    """[walk, repetition, place]: the steps sampled, within the first two steps a word."""
-    draw = np.random.default_rng(size)
-    return np.stack([[draw.choice(max(places, 2 * size), places, replace=False) for _ in range(repeats)] for _ in range(walks)])
-
-
-def lsh_keys(strings: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """[row, walk and repetition]: a key of the words at each repetition's places."""
-    walks, repeats, places = chosen.shape
-    shown = cgk(strings, int(chosen.max()) + 1, walks)
-    key = np.arange(1, walks * repeats + 1, dtype=U).reshape(walks, repeats) + np.zeros((len(strings), 1, 1), U)
-    walk = np.arange(walks)[:, None]
-    for k in range(places):
-        key = mix(key ^ shown[:, walk, chosen[:, :, k]])
-    return key.reshape(len(strings), -1)
-
-
 def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The least word edit distance of the item to a stretch of the text, and where it ends."""
     row = np.arange(len(item) + 1)  # distances of the item's beginnings to stretches ending here
@@ -85,7 +51,7 @@ def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class ItemIndex:
-    """Items by length: vocabulary masks, LSH keys and words."""
+    """Items by length: vocabulary masks, counts of words and words."""
 
     def __init__(self, ids: list[int], texts: Texts):
         words = texts.words(0, len(texts))
@@ -96,19 +62,14 @@ class ItemIndex:
         size_of = np.repeat([np.searchsorted(self.sizes, len(w)) for _, w in self.items], [len(w) for _, w in self.items]).astype(np.int64)
         self.has = np.zeros((len(self.sizes), len(self.words) + 1), bool)  # the last column: other words
         self.has[size_of, place] = True
-        self.keys, self.owner, self.own, self.times = [], [], [], []
-        self.chosen = [samples(int(size)) for size in self.sizes]
-        for size, chosen in zip(self.sizes, self.chosen):
+        self.own, self.times = [], []
+        for size in self.sizes:
             own = np.array([k for k, (_, w) in enumerate(self.items) if len(w) == size])
             self.own.append(own)
             times = np.zeros((len(own), len(self.words) + 1), np.int32)
             for c, k in enumerate(own):
                 np.add.at(times[c], np.searchsorted(self.words, self.items[k][1]), 1)
             self.times.append(times)
-            key = lsh_keys(np.stack([self.items[k][1] for k in own]), chosen).ravel()
-            order = np.argsort(key, kind="stable")
-            self.keys.append(key[order])
-            self.owner.append(np.repeat(np.arange(len(own)), WALKS * REPEATS)[order])
         # a 16-bit filter in front of the search: most of a text's words are no item's
         self.front = np.zeros(1 << 16, bool)
         self.front[(self.words >> U(48)).astype(np.int64)] = True
@@ -126,7 +87,7 @@ class ItemIndex:
         at[some[exact]] = place[exact]
         doc = np.repeat(np.arange(len(words.counts)), words.counts)
         total, end = np.zeros(n + 1, np.int32), words.of[1:]
-        padded, numbers = np.append(words.hashes, PAD), np.append(at, len(self.words))
+        numbers = np.append(at, len(self.words))
         for k, size in enumerate(self.sizes):
             size = int(size)
             least = size - size // EDIT_SHARE
@@ -143,11 +104,11 @@ class ItemIndex:
             inside[short] = total[stop] - total[short] >= least
             first = np.flatnonzero(inside)
             for part in np.array_split(first, len(first) // 16_000 + 1):
-                self._match(words, padded, numbers, doc, part, k, found)
+                self._match(words, numbers, doc, part, k, found)
         return found
 
-    def _match(self, words: Words, padded: np.ndarray, numbers: np.ndarray, doc: np.ndarray, first: np.ndarray, k: int, found: dict) -> None:
-        """Windows of one length that the count filter leaves: multisets, embedding, buckets, verification."""
+    def _match(self, words: Words, numbers: np.ndarray, doc: np.ndarray, first: np.ndarray, k: int, found: dict) -> None:
+        """Windows of one length that the count filter leaves: multisets, verification."""
         if not len(first):
             return
         size, slack, own = int(self.sizes[k]), int(self.sizes[k]) // EDIT_SHARE, self.own[k]
@@ -165,18 +126,7 @@ class ItemIndex:
         fits = np.zeros((len(one), len(own)), bool)
         for c in range(len(own)):
             fits[:, c] = (self.times[k][c][ranked] > seen).sum(axis=1) >= size - slack
-        some = np.flatnonzero(fits.any(axis=1))
-        if not len(some):
-            return
-        strings = padded[where[one[some]]]
-        keys = lsh_keys(strings, self.chosen[k])
-        left, right = np.searchsorted(self.keys[k], keys, "left"), np.searchsorted(self.keys[k], keys, "right")
-        near = np.zeros((len(one), len(own)), bool)
-        row, column = np.nonzero(right > left)
-        n = (right - left)[row, column]
-        owner = self.owner[k][np.repeat(left[row, column] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        near[some[np.repeat(row, n)], owner] = True
-        which, starts = np.nonzero((near & fits)[same].T)
+        which, starts = np.nonzero(fits[same].T)
         starts = first[starts]
         # neighbouring windows are verified together
         begin = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[starts[1:]] != doc[starts[:-1]])) if len(which) else np.zeros(0, bool))

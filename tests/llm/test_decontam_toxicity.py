@@ -54,6 +54,26 @@ def test_contamination_against_brute_force(spark):
     assert len(got) >= 0.95 * len(want) > 30
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "substitute", "shift"])
+def test_every_kind_of_edit_is_found_at_every_length(kind):
+    """Exactly n // 4 edits, the most that count; shift: half deletions, half insertions."""
+    draw = random.Random(kind)
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([15, 16, 25, 40, 45, 50, 59, 80, 100, 150, 200] * 4)]
+    texts = []
+    for item in items:
+        slack, w = len(item) // 4, list(item)
+        spare = draw.sample(range(len(w)), slack)
+        for c, p in enumerate(sorted(spare, reverse=True)):
+            do = ("delete", "insert")[c % 2] if kind == "shift" else kind
+            w[p : p + (do != "insert")] = [] if do == "delete" else [f"q{draw.randrange(10**9)}"]
+        lead = [f"z{draw.randrange(500)}" for _ in range(draw.randrange(40))]
+        texts.append(" ".join(lead + w + [f"z{draw.randrange(500)}" for _ in range(draw.randrange(40))]))
+    index = decontam.ItemIndex(list(range(len(items))), Texts(pa.array([" ".join(w) for w in items])))
+    docs = Texts(pa.array(texts))
+    found = index.find(docs.words(0, len(docs)))
+    assert {pair: best for pair, (best, _) in found.items()} == {(k, k): least_edits(w, texts[k].split()) for k, w in enumerate(items)}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     copy = odd_docs.where("doc_id = 1").first()["text"]
     cut = " ".join(copy.split()[30:60])
