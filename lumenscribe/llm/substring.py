@@ -5,7 +5,7 @@ equal windows have equal anchors, and neighbouring windows mostly share one. Pas
 each partition counts its anchors in a count-min sketch (two rows, counts up to 2);
 partitions' sketches are merged block by block. The sketch never underestimates, so a
 window whose anchor it holds for single is single. Pass 2: only windows whose anchor
-is estimated repeated are grouped, exactly, by window hash: those in two documents or
+is estimated repeated are grouped, exactly, by their 64-bit window hash: those in two documents or
 more are repeated. Runs of them become spans of words.
 
 The sketch is sized by the input's bytes up to ``max_cells`` a row (128 MB of bits at the
@@ -116,7 +116,7 @@ def _expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def candidate_runs(narrow: DataFrame, bits: np.ndarray) -> DataFrame:
-    """anchor, id, start, hashes (4 bytes each): runs of windows of one anchor that the sketch holds for repeated."""
+    """anchor, id, start, hashes (8 bytes each): runs of windows of one anchor that the sketch holds for repeated."""
     width = bits.shape[1] * 8
     shared = narrow.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -136,8 +136,8 @@ def candidate_runs(narrow: DataFrame, bits: np.ndarray) -> DataFrame:
                 first, n = first[again], n[again]
                 if not len(first):
                     continue
-                whole = words.windows(WINDOW)[at[_expand(first, n)]].astype("<u4")
-                offsets = np.append(0, np.cumsum(n) * 4).astype(np.int32)
+                whole = words.windows(WINDOW)[at[_expand(first, n)]].astype("<u8")
+                offsets = np.append(0, np.cumsum(n) * 8).astype(np.int32)
                 owner = doc[first]
                 hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(whole.tobytes())])
                 yield pa.record_batch([pa.array(anchor[first].view(np.int64)), pa.array(ids[owner + lo]), pa.array((at[first] - words.of[owner]).astype(np.int64)), hashes], names=["anchor", "id", "start", "hashes"])
@@ -169,13 +169,13 @@ def exact_runs(candidates: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        none = (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         held = none
         for batch in batches:
             raw = batch.column(3)
             ends = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset)
-            n = np.diff(ends) // 4
-            hashes = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4")
+            n = np.diff(ends) // 8
+            hashes = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8")
             anchor, doc, start = (np.repeat(batch.column(k).to_numpy(), n) for k in range(3))
             place = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
             anchor, hashes, doc, place, sure = (np.concatenate(x) for x in zip(held, (anchor, hashes, doc, place, np.zeros(len(doc), bool))))

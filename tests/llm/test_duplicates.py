@@ -144,6 +144,15 @@ def test_hot_anchors_are_settled_over_many_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_clean_documents_under_one_anchor_stay_clean(spark):
+    """49 words that all documents have: enough windows of one anchor for some to agree in 32 bits of their hash."""
+    draw = random.Random(12)
+    footer = " ".join(f"p{k}" for k in range(49))
+    rows = [(k, " ".join([*(f"a{draw.randrange(10**9)}" for _ in range(30)), footer, *(f"b{draw.randrange(10**9)}" for _ in range(30))])) for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert substring.repeated_spans(docs).collect() == []
+
+
 def test_substring_odd_rows(odd_docs, no_docs):
     assert {tuple(r) for r in substring.repeated_spans(odd_docs).collect()} == {(1, 0, 120), (2, 0, 120)}
     assert substring.repeated_spans(no_docs).count() == 0
