@@ -4,8 +4,10 @@ A document's shingles (3 words) are hashed once; the hash picks one of 128 bins
 the bin keeps its minimum. An empty bin copies the bin that its own sequence of
 hashed tries finds first, the same for all documents. Bands of 4 bins make buckets;
 a bucket of n documents gives n - 1 candidate edges, all to its smallest id. Edges
-are then verified by the share of equal bins, an estimate of the Jaccard similarity,
-and connected by alternating large-star and small-star steps.
+are then verified by the share of equal bins, an estimate of the Jaccard similarity.
+In a bucket of which an edge fails, every two members are compared, in blocks of
+bounded size, so what a bucket connects doesn't depend on its smallest id. Edges are
+connected by alternating large-star and small-star steps.
 
 Defined cases: a document without words, with a null text or a null id is never a
 near-duplicate; one of fewer than 3 words is a single shingle; rows that repeat an id
@@ -16,16 +18,18 @@ other columns are passed through unread.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenscribe.llm.common import arrow_map, col, keep_ids
+from lumenscribe.llm.common import arrow_map, col, keep_ids, small
 from lumenscribe.llm.kernels import Texts, mix
 from lumenscribe.session import cut
 
-SHINGLE, BINS, ROWS, THRESHOLD = 3, 128, 4, 0.5
+SHINGLE, BINS, ROWS, THRESHOLD, BLOCK = 3, 128, 4, 0.5, 4096
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -91,27 +95,83 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int, bins: int, rows
     return arrow_map(narrow, run, "id bigint, sig binary, bands array<bigint>")
 
 
+def stars(made: DataFrame) -> DataFrame:
+    """band, hub, id, n: each row of a bucket, the bucket's smallest id and its rows."""
+    bucket = Window.partitionBy("band")
+    return made.select(F.explode("bands").alias("band"), "id").select("band", F.min("id").over(bucket).alias("hub"), "id", F.count("*").over(bucket).alias("n"))
+
+
 def star_edges(made: DataFrame) -> DataFrame:
     """hub, id: from each member of a bucket to its smallest id; distinct."""
-    rows = made.select(F.explode("bands").alias("band"), "id")
-    hub = F.min("id").over(Window.partitionBy("band"))
-    return rows.select(hub.alias("hub"), "id").where("hub < id").distinct()
+    return stars(made).select("hub", "id").where("hub < id").distinct()
 
 
-def verified(edges: DataFrame, made: DataFrame, bins: int, threshold: float) -> DataFrame:
-    """The edges whose ends share at least the threshold of bins, with that share."""
+def judged(edges: DataFrame, made: DataFrame, bins: int) -> DataFrame:
+    """hub, id, similarity: the share of bins that the ends of each edge have in common."""
     schema = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(n, bins) for k in (2, 3))
-        share = (left == right).mean(axis=1)
-        keep = pa.array(np.flatnonzero(share >= threshold))
-        return pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(share).take(keep)], schema=schema)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array((left == right).mean(axis=1))], schema=schema)
 
     one = made.select("id", "sig").dropDuplicates(["id"])
     pairs = edges.join(one.select(F.col("id").alias("hub"), F.col("sig").alias("a")), "hub").join(one.select("id", F.col("sig").alias("b")), "id")
-    return arrow_map(pairs.select("hub", "id", "a", "b"), run, "hub bigint, id bigint, similarity double")
+    shares = arrow_map(pairs.select("hub", "id", "a", "b"), run, "hub bigint, id bigint, similarity double")
+    return shares.groupBy("hub", "id").agg(F.max("similarity").alias("similarity"))
+
+
+def _joins(ids: np.ndarray, sigs: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Edges that connect what all pairs of the threshold connect; of two blocks only pairs across."""
+    _, label = np.unique(ids, return_inverse=True)
+    across, out = block[0] != block[-1], []
+    later = np.searchsorted(block, block[0], "right") if across else 0
+    for i in range(later if across else len(ids) - 1):
+        rest = later if across else i + 1
+        match = rest + np.flatnonzero((sigs[rest:] == sigs[i]).mean(axis=1) >= threshold)
+        fresh = match[label[match] != label[i]]
+        if len(fresh):
+            joined, first = np.unique(label[fresh], return_index=True)
+            out += [(min(x), max(x)) for x in ((int(ids[i]), int(ids[k])) for k in fresh[first])]
+            label[np.isin(label, joined)] = label[i]
+    return out
+
+
+def bucket_edges(made: DataFrame, failed: DataFrame, bins: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """hub, id: edges of the threshold inside the buckets of more than two rows with a failed edge."""
+    schema = pa.schema([("hub", pa.int64()), ("id", pa.int64())])
+    open_ = stars(made).where("n > 2").join(small(failed.select("hub", "id")), ["hub", "id"]).select("band").distinct()
+    rows = made.select(F.explode("bands").alias("band"), "id", "sig").join(small(open_), "band", "left_semi").dropDuplicates(["band", "id", "sig"])
+    # a bucket is cut into blocks of ids, and every two blocks meet in a group of their own
+    bucket = Window.partitionBy("band")
+    rows = rows.select("band", "id", "sig", F.floor((F.row_number().over(bucket.orderBy("id", "sig")) - 1) / block).cast("bigint").alias("block"))
+    rows = rows.withColumn("last", F.max("block").over(bucket)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
+    rows = rows.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            group = pa.Table.from_batches(parts)
+            sigs = np.frombuffer(b"".join(group.column(5).to_pylist()), "<u2").reshape(-1, bins)
+            found = _joins(group.column(4).to_numpy(), sigs, group.column(3).to_numpy(), threshold)
+            return pa.record_batch([pa.array([e[k] for e in found], pa.int64()) for k in range(2)], schema=schema)
+
+        held, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            begin = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            for lo, hi in zip(begin, np.append(begin[1:], batch.num_rows)):
+                key = tuple(keys[:, lo])
+                if key != at and held:
+                    yield edges(held)
+                    held = []
+                at = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield edges(held)
+
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "block", "id").mapInArrow(run, "hub bigint, id bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,7 +197,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bins: int = BINS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, keep_id: each document that is a copy, and the one of its group that stays."""
     made = cut(sketches(docs, key, text, shingle, bins, rows))
-    return components(verified(star_edges(made), made, bins, threshold)).select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"))
+    shares = cut(judged(star_edges(made), made, bins))
+    failed, edges = shares.where(F.col("similarity") < threshold), shares.where(F.col("similarity") >= threshold).select("hub", "id")
+    if not failed.isEmpty():
+        edges = edges.union(bucket_edges(made, failed, bins, threshold))
+    return components(edges).select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -58,6 +58,36 @@ def test_near_duplicates_against_all_pairs(spark, copies):
     assert kept == set(sets) - set(got)
 
 
+def bucket_components(rows, threshold=0.5):
+    """Components of all pairs that share a band and the threshold of bins."""
+    texts = Texts(pa.array([t.lower() for _, t in rows]))
+    _, sig = near_dup.signatures(texts, 0, len(texts))
+    sig, bands = sig.astype("<u2"), near_dup.band_keys(sig)
+    edges = []
+    for a in range(len(rows)):
+        hit = (bands[a + 1 :] == bands[a]).any(axis=1) & ((sig[a + 1 :] == sig[a]).mean(axis=1) >= threshold)
+        edges += [(a, a + 1 + int(b)) for b in np.flatnonzero(hit)]
+    return components(len(rows), edges)
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 7])
+def test_copies_among_documents_that_share_a_passage(spark, monkeypatch, block):
+    """Buckets' smallest ids are mostly unrelated documents with the passage; copies are near the threshold."""
+    monkeypatch.setattr(near_dup.bucket_edges, "__defaults__", (block,))
+    draw = random.Random(21)
+    word = lambda: f"w{draw.randrange(10**7)}"
+    passage, texts = [word() for _ in range(180)], []
+    for _ in range(60):
+        own = [word() for _ in range(120)]
+        copy = own[:55] + [word() for _ in range(65)]
+        texts += [own, copy]
+    draw.shuffle(texts)
+    rows = [(k, " ".join(passage + t)) for k, t in enumerate(texts)]
+    want = bucket_components(rows)
+    got = {r[0]: r[1] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_signature_shares_estimate_jaccard():
     draw = random.Random(2)
     for share in (0.3, 0.6, 0.9):
