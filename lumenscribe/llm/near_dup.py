@@ -11,7 +11,7 @@ connected by alternating large-star and small-star steps.
 
 Defined cases: a document without words, with a null text or a null id is never a
 near-duplicate; one of fewer than 3 words is a single shingle; rows that repeat an id
-are one document (their shingles' smallest bucket edges are shared) and stay or go
+are one document, as similar to another as the best of their rows, and stay or go
 together; of a group the smallest id stays; an empty table gives an empty result;
 other columns are passed through unread.
 """
@@ -107,7 +107,7 @@ def star_edges(made: DataFrame) -> DataFrame:
 
 
 def judged(edges: DataFrame, made: DataFrame, bins: int) -> DataFrame:
-    """hub, id, similarity: the share of bins that the ends of each edge have in common."""
+    """hub, id, similarity: the share of bins that the ends of each edge have in common, the best of their rows."""
     schema = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,7 +115,7 @@ def judged(edges: DataFrame, made: DataFrame, bins: int) -> DataFrame:
         left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(n, bins) for k in (2, 3))
         return pa.record_batch([batch.column(0), batch.column(1), pa.array((left == right).mean(axis=1))], schema=schema)
 
-    one = made.select("id", "sig").dropDuplicates(["id"])
+    one = made.select("id", "sig").dropDuplicates(["id", "sig"])
     pairs = edges.join(one.select(F.col("id").alias("hub"), F.col("sig").alias("a")), "hub").join(one.select("id", F.col("sig").alias("b")), "id")
     shares = arrow_map(pairs.select("hub", "id", "a", "b"), run, "hub bigint, id bigint, similarity double")
     return shares.groupBy("hub", "id").agg(F.max("similarity").alias("similarity"))

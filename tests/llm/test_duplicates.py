@@ -88,6 +88,14 @@ def test_copies_among_documents_that_share_a_passage(spark, monkeypatch, block):
     assert got == want and len(want) > 20
 
 
+def test_a_copy_of_any_row_of_an_id_is_found(spark):
+    draw = random.Random(22)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(80)) for _ in range(12)]
+    rows = [(1, t) for t in texts] + [(10 + k, t) for k, t in enumerate(texts)]
+    got = {(r[0], r[1]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(10 + k, 1) for k in range(12)}
+
+
 def test_signature_shares_estimate_jaccard():
     draw = random.Random(2)
     for share in (0.3, 0.6, 0.9):
