@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of a small side that may be broadcast; beyond it Spark's own join runs.
 BROADCAST_ROWS = 200_000
@@ -40,6 +41,16 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(ids, col(key) == F.col("__id"), how)
 
 
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    """The Arrow type of a column, for what Python makes of its values."""
+    return to_arrow_type(df.schema[name].dataType)
+
+
+def typed(df: DataFrame, **fields: str) -> str:
+    """A schema's beginning, 'new type, ', with the types of df's columns."""
+    return "".join(f"`{new}` {df.schema[old].dataType.simpleString()}, " for new, old in fields.items())
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn on each Arrow batch; it may return None for no rows."""
 

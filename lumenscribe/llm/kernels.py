@@ -166,6 +166,12 @@ class Words:
         return at, doc
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: hashing integers of one pattern is slow."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """min(x[i:i+size]) for each i, by doubling."""
     if len(x) < size:

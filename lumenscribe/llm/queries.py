@@ -20,6 +20,7 @@ SQL = {
     "op1_sharding": sharding.SQL,
     "op2_warc": warc.SQL,
     "op3_mixing": mixing.SQL,
+    "op4_benchmark_decontamination": decontam.SQL,
     "op5_substring_dedup": substring.SQL,
     "op8_license_scans": licenses.SQL,
 }
