@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lumenscribe.session import run_dir
+
 #: Rows of a small side that may be broadcast; beyond it Spark's own join runs.
 BROADCAST_ROWS = 200_000
 
@@ -62,6 +64,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder as Parquet, which is smaller than a checkpoint, and read again."""
+    df.write.parquet(out := run_dir(df.sparkSession, label))
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, over many tasks."""
     home = sys.modules.get("_lumenscribe_worker") or types.ModuleType("_lumenscribe_worker")

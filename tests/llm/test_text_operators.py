@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 
 from lumenscribe.llm import fingerprints, licenses, token_counts
@@ -45,12 +46,38 @@ def test_token_counts_equal_the_encoding_of_whole_texts(spark, odd_docs, no_docs
     coder = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
     more = spark.createDataFrame([(100, "It's  a \t\n\n test <|endoftext|> ’ ½ 日本語 'll\n  "), (101, " " * 50)], "doc_id bigint, text string")
     for docs in (odd_docs.select("doc_id", "text"), more):
-        for entries in (3, 10**6):
-            got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, entries=entries).collect())
-            assert got == Counter((r[0], None if r[1] is None else len(coder.encode_ordinary(r[1]))) for r in docs.collect())
+        for entries, hot in ((3, 5), (10**6, 0), (10**6, 10**6)):
+            got = Counter(map(tuple, token_counts.count_tokens(docs, entries=entries, hot=hot).collect()))
+            want = Counter()
+            for key, text in docs.collect():
+                freq = None if text is None else Counter(re_split(text))
+                want[key, *((None,) * 3 if freq is None else (freq.total(), len(freq), len(coder.encode_ordinary(text))))] += 1
+            assert got == want
     assert token_counts.count_tokens(no_docs).count() == 0
 
 
+def re_split(text):
+    return regex.findall(token_counts.PATTERN, text)
+
+
+def test_pieces_are_counted_once_for_each_distinct_pretoken(spark, odd_docs):
+    docs = odd_docs.select("text", "doc_id").repartition(7)
+    seen = {t for r in docs.collect() for t in re_split(r[0] or "")}
+    rows = token_counts.vocabulary(docs, entries=50).collect()
+    assert len(rows) == len(seen) and {r["pretoken"] for r in rows} == seen
+    in_docs = Counter(t for r in docs.collect() for t in set(re_split(r[0] or "")))
+    assert {r["pretoken"]: r["docs"] for r in rows} == in_docs
+
+
+def test_hot_pretokens_keep_within_their_bounds(spark):
+    table = spark.createDataFrame([(f"t{k}", 1 + 1000 // (k + 1), 1) for k in range(500)], "pretoken string, docs bigint, pieces bigint")
+    for hot, size in ((0, 10**6), (10, 10**6), (100, 60), (10**6, 10**6)):
+        bound = token_counts.hot_bound(table, hot, size)
+        chosen = [r["pretoken"] for r in table.where(f"docs >= {bound}").collect()]
+        assert len(chosen) <= hot and sum(map(len, chosen)) <= size and (len(chosen) == 500 if hot > 500 else True)
+    assert token_counts.hot_bound(table.limit(0)) == 1
+
+
 def test_signatures_collide_as_often_as_the_weighted_jaccard():
     draw = np.random.default_rng(3)
     for overlap in (0.2, 0.5, 0.8):
