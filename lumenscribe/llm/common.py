@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from lumenscribe.session import run_dir
 
@@ -53,6 +54,26 @@ def typed(df: DataFrame, **fields: str) -> str:
     return "".join(f"`{new}` {df.schema[old].dataType.simpleString()}, " for new, old in fields.items())
 
 
+def id_of(docs: DataFrame, key: str) -> Column:
+    """The key as a bigint: itself if it is an integer, else 64 bits of its hash; null stays null."""
+    if isinstance(docs.select(col(key)).schema[0].dataType, IntegralType):
+        return col(key).cast("bigint")
+    return F.when(col(key).isNotNull(), F.xxhash64(col(key)))
+
+
+def with_keys(df: DataFrame, docs: DataFrame, key: str, **names: str) -> DataFrame:
+    """df whose columns of ``id_of`` are renamed as told and hold the keys themselves."""
+    keys = docs.select(col(key).alias("__key")).where("__key is not null")
+    kind = keys.schema[0].dataType
+    for old, new in names.items():
+        if isinstance(kind, IntegralType):
+            df = df.withColumn(old, F.col(old).cast(kind)).withColumnRenamed(old, new)
+        else:
+            found = keys.groupBy(F.xxhash64("__key").alias("__id")).agg(F.first("__key").alias(new))
+            df = df.join(found, F.col(old) == F.col("__id")).drop("__id", old)
+    return df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn on each Arrow batch; it may return None for no rows."""
 

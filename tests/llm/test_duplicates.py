@@ -150,9 +150,10 @@ def spans_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("cells", [1 << 20, 1 << 16])
-def test_repeated_passages_against_brute_force(spark, monkeypatch, cells):
-    monkeypatch.setattr(substring, "MIN_CELLS", 1 << 16)
+@pytest.mark.parametrize("cells,hot", [(16, substring.HOT), (0.05, substring.HOT), (16, 0), (1, 3)])
+def test_repeated_passages_against_brute_force(spark, monkeypatch, cells, hot):
+    """With any size of the sketch and any bound of hot anchors."""
+    monkeypatch.setattr(substring, "blocks_for", lambda n: max(1, int(n * cells) // 64))
     draw = random.Random(8)
     prose = lambda n: [f"w{draw.randrange(900)}" for _ in range(n)]
     shared = [prose(n) for n in (49, 50, 51, 77, 130)]
@@ -166,22 +167,48 @@ def test_repeated_passages_against_brute_force(spark, monkeypatch, cells):
     own = prose(60)
     rows += [(90, " ".join(own + own)), (91, None), (None, " ".join(shared[4])), (92, " ".join(shared[4])), (92, " ".join(shared[4])), (93, "same " * 300), (94, "same " * 300)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, first_word int").repartition(5)
-    got = {tuple(r) for r in substring.repeated_spans(docs, max_cells=cells).collect()}
+    got = {tuple(r) for r in substring.repeated_spans(docs, hot=hot).collect()}
     assert got == spans_by_hand(rows) and any(r[0] == 92 for r in got) and not any(r[0] == 90 for r in got)
 
 
-def test_hot_anchors_are_settled_over_many_batches(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [10, substring.HOT])
+def test_hot_anchors_are_settled_over_many_batches(spark, hot):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         draw = random.Random(9)
         passage = [f"p{k}" for k in range(60)]
         rows = [(k, " ".join([f"x{draw.randrange(5)}"] * draw.randrange(4) + passage + [f"y{draw.randrange(5)}"] * draw.randrange(4))) for k in range(100)]
-        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-        assert {tuple(r) for r in substring.repeated_spans(docs).collect()} == spans_by_hand(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+        assert {tuple(r) for r in substring.repeated_spans(docs, hot=hot).collect()} == spans_by_hand(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_sketch_never_underestimates(spark):
+    """Blocks that travel together or alone, partial sketches given out at any size: the same bits, and none missing."""
+    draw = np.random.default_rng(5)
+    anchor = draw.integers(-(2**63), 2**63, 4000)
+    anchor = np.concatenate([anchor, anchor[:500]])
+    runs = spark.createDataFrame([(int(a),) for a in anchor], "anchor bigint").repartition(4)
+    was = None
+    for flush in (100, 10**6):
+        rows = {r["block"]: (r["row0"], r["row1"]) for r in substring.merged_sketch(runs, 9000, flush).collect()}
+        assert was is None or rows == was
+        was = rows
+    for a in anchor[:500].astype(np.uint64):
+        for row in range(2):
+            cell = int(a >> np.uint64(16 * row)) & 0xFFFF
+            assert was[int(a >> np.uint64(32)) % 9000][row][cell >> 6] >> (cell & 63) & 1
+
+
+def test_spans_of_an_id_with_several_texts_and_of_text_keys(spark):
+    draw = random.Random(10)
+    a, b = ([f"{c}{draw.randrange(10**6)}" for _ in range(70)] for c in "ab")
+    rows = [("one", " ".join(a)), ("one", " ".join(["x", *b])), ("two", " ".join(b)), ("three", " ".join(["y", "z", *a])), ("one", " ".join(a))]
+    got = {tuple(r) for r in substring.repeated_spans(spark.createDataFrame(rows, "`the.key` string, text string"), "the.key").collect()}
+    assert got == {("one", 0, 71), ("two", 0, 70), ("three", 2, 72)}
+
+
 def test_clean_documents_under_one_anchor_stay_clean(spark):
     """49 words that all documents have: enough windows of one anchor for some to agree in 32 bits of their hash."""
     draw = random.Random(12)
