@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, IntegralType, NumericType, StringType, TimestampType
 
 from lumenscribe.session import run_dir
 
-#: Rows of a small side that may be broadcast; beyond it Spark's own join runs.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a small side that may be broadcast; beyond either Spark's own join runs.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def col(name: str) -> Column:
@@ -33,9 +33,16 @@ def hex_hash(key: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, digits), 16, 10).cast("bigint")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its rows, counted here, are few enough."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows and their bytes, counted here, are few enough."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, StringType | BinaryType):
+            size += F.coalesce(F.octet_length(col(f.name)), F.lit(0))
+        elif not isinstance(f.dataType, NumericType | BooleanType | DateType | TimestampType):
+            size += F.octet_length(F.to_json(F.struct(col(f.name)))) * 4
+    n, total = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and total <= limit_bytes else df
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

@@ -96,6 +96,31 @@ def test_a_copy_of_any_row_of_an_id_is_found(spark):
     assert got == {(10 + k, 1) for k in range(12)}
 
 
+def test_the_same_copies_under_any_order_and_keys(spark):
+    draw = random.Random(23)
+    base = [[f"w{draw.randrange(10**6)}" for _ in range(90)] for _ in range(6)]
+    rows = []
+    for k, w in enumerate(base):
+        near = [*w[:88], "other", "end"]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(near))]
+    rows += [(1, " ".join(base[4])), (40, " ".join(base[5])), (40, " ".join(base[5])), (41, None), (None, " ".join(base[0]))]
+    results = set()
+    for _ in range(3):
+        draw.shuffle(rows)
+        results.add(frozenset(map(tuple, near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect())))
+    want = {(3 * k + j, 3 * k) for k in range(6) for j in (1, 2)} - {(12 + j, 12) for j in (1, 2)} | {(12, 0), (13, 0), (14, 0), (40, 15)}
+    assert results == {frozenset(want)}
+    named = [(None if k is None else f"n{k}", t) for k, t in rows]
+    got = near_dup.near_duplicates(spark.createDataFrame(named, "`a.b` string, text string"), "a.b").collect()
+    groups = defaultdict(set)
+    for k, keep in want:
+        groups[keep] |= {f"n{k}", f"n{keep}"}
+    told = defaultdict(set)
+    for k, keep in got:
+        told[keep] |= {k, keep}
+    assert sorted(map(sorted, told.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_signature_shares_estimate_jaccard():
     draw = random.Random(2)
     for share in (0.3, 0.6, 0.9):
