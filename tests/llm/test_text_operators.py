@@ -1,7 +1,9 @@
 import base64
 import re
+import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
@@ -12,7 +14,7 @@ from lumenscribe.llm.kernels import WORD_RE, Texts
 
 
 def test_licenses_by_hand(spark):
-    mit = licenses.TEMPLATES["mit"]
+    mit = " ".join(licenses.TEMPLATES["mit"].split())
     notice = "Released under the MIT License."
     wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", mit)
     rows = [
@@ -22,11 +24,53 @@ def test_licenses_by_hand(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, license string")
     out = [(r["doc_id"], r["unit"], r["line"], r["license"]) for r in licenses.scan_licenses(docs).collect()]
     assert Counter(out) == Counter([
-        (1, "line", 2, "mit-line"), (2, "paragraph", 0, "mit"), (3, "document", 0, "mit"), (3, "paragraph", 2, "mit"),
+        (1, "line", 2, "mit-line"), (2, "paragraph", 0, "mit"), (2, "passage", 0, "mit"), (3, "document", 0, "mit"), (3, "paragraph", 2, "mit"), (3, "passage", 2, "mit"),
         (None, "line", 0, "mit-line"), (7, "line", 0, "mit-line"), (7, "line", 0, "mit-line"), (8, "line", 0, "mit"),
     ])
 
 
+def in_many_layouts():
+    """(key, text, the licence that must be found or None)"""
+    code = [f"def function_{k}(value): return value * {k} + other_{k}" for k in range(120)]
+    whole = [n for n in licenses.TEMPLATES if not n.endswith("-line")]
+    rows = []
+    for name in whole:
+        body = licenses.TEMPLATES[name].strip("\n") if "\n" in licenses.TEMPLATES[name] else textwrap.fill(licenses.TEMPLATES[name], 60)
+        rows.append((f"The Name\n\nCopyright (c) 2020 Some Holder\n\n{body}", name))
+        rows.append(("\n".join([*code[:40], "", body, "", *code]), name))
+        rows.append(("\n".join([*code[:3], *("# " + x for x in body.split("\n")), *code]), name))
+        rows.append(("\n".join([*code, " * ".join(body.split("\n")[: len(body.split("\n")) // 3]), *code]), None))
+    return [(k, *r) for k, r in enumerate(rows)]
+
+
+def test_licenses_are_found_in_any_layout_and_near_misses_are_not(spark):
+    rows = in_many_layouts()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    out = {}
+    for r in licenses.scan_licenses(docs).collect():
+        out.setdefault(r["doc_id"], set()).add(r["license"])
+    for key, text, name in rows:
+        found = {x for x in out.get(key, ()) if not x.endswith("-line")}
+        assert (name in found) if name else not found, (key, name, found, text[:80])
+    assert all("mit-0" not in x for x in out.values())
+
+
+def test_licenses_equal_their_sql(spark, odd_docs):
+    rows = [r[:2] for r in in_many_layouts()[::3]] + [(r["doc_id"], r["text"]) for r in odd_docs.where("doc_id is null or doc_id <> 6").collect()]
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    db = duckdb.connect()
+    db.register("documents", table)
+    got = Counter(map(tuple, licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == Counter(db.execute(licenses.SQL).fetchall())
+
+
+def test_a_licence_in_a_very_long_text_and_text_keys(spark):
+    body = licenses.TEMPLATES["bsd-3-clause"]
+    rows = [("a", "word " * 300_000 + "\n" + body + "\nmore words\n" * 5000), (None, body)]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string"), "name").where("unit = 'passage'").collect()
+    assert {(r["doc_id"], r["line"], r["license"]) for r in out} == {("a", 1, "bsd-3-clause"), (None, 0, "bsd-3-clause")}
+
+
 def test_dice_is_exact(spark):
     words = licenses.TEMPLATES["gpl-3.0-line"].rstrip(".").split()
     near = " ".join(["big", *words[:-1], "two"])
