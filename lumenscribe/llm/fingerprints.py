@@ -6,9 +6,10 @@ t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). The word of least a giv
 sample, and the pair (word, t) is its value: two documents' samples are equal with
 the probability of their generalised Jaccard similarity, sum of min / sum of max.
 
-Defined cases: a null text has a null signature, a text without words an empty one;
-repeated rows are signed each; an empty table gives an empty result; columns other
-than the key and the text are not read.
+Defined cases: a null text has a null signature, a text without words an empty one; of
+words of equally least a the one of the smaller hash counts; repeated rows are signed
+each; an empty table gives an empty result; columns other than the key and the text are
+not read. Keys may be of any type.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscribe.llm.common import arrow_map, col
+from lumenscribe.llm.common import arrow_map, col, typed
 from lumenscribe.llm.kernels import Texts, mix
 
 SAMPLES, TERMS = 64, 1 << 15
@@ -83,8 +84,6 @@ def bags(texts: Texts, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """doc_id, signature of each row. No shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("signature", pa.list_(pa.int64()))])
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(1)
         texts, size, body = Texts(column), np.zeros(len(column), np.int64), []
@@ -97,10 +96,10 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", sample
         offsets = np.append(0, np.cumsum(size)).astype(np.int32)
         null = np.append(column.is_null().to_numpy(zero_copy_only=False), False)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null), pa.array(np.concatenate(body) if body else np.zeros(0, np.int64)))
-        return pa.record_batch([batch.column(0), lists], schema=schema)
+        return pa.record_batch([batch.column(0), lists], names=["doc_id", "signature"])
 
-    narrow = docs.select(col(key).cast("bigint").alias("doc_id"), F.lower(col(text)).alias("text"))
-    return arrow_map(narrow, run, "doc_id bigint, signature array<bigint>")
+    narrow = docs.select(col(key).alias("doc_id"), F.lower(col(text)).alias("text"))
+    return arrow_map(narrow, run, typed(narrow, doc_id="doc_id") + "signature array<bigint>")
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,12 +95,18 @@ def assign(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", slots: int
     return put(docs.join(pairs, slot_of(col(key), slots) == F.col("__slot"), "left"), slot=F.col("__slot"), shard=F.col("__shard")).drop("__slot", "__shard")
 
 
-def shard_documents(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
-    """Aggregate bytes per slot, store the first map and its rebalanced edit, assign by the edit."""
+def shard_documents(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, path: str | None = None) -> DataFrame:
+    """Aggregate bytes per slot, edit the stored map for them, assign by the edit.
+
+    path is the folder of the map's versions: the latest is edited, and a new folder
+    begins with the initial map. Without a path the map is this run's own.
+    """
     spark = docs.sparkSession
-    maps = SlotMaps(spark, run_dir(spark, "slot-map"))
-    maps.commit(initial_map(spark, slots, shards), 1)
-    maps.commit(rebalance(maps.get(1), slot_bytes(docs, slots=slots), shards), 2)
+    maps = SlotMaps(spark, path or run_dir(spark, "slot-map"))
+    if not maps.versions():
+        maps.commit(initial_map(spark, slots, shards), 1)
+    now = maps.versions()[-1]
+    maps.commit(rebalance(maps.get(now), slot_bytes(docs, slots=slots), shards), now + 1)
     return assign(docs, maps.latest(), slots=slots)
 
 

@@ -5,12 +5,14 @@ come, takes the header, then exactly Content-Length bytes of block, and compares
 the block's SHA-1 with the record's digest. What is wrong with a record is its
 status; the reader then looks for the next gzip member and goes on.
 
-The writer names a file by its partition and renames it when complete, so a task
-that runs again, or twice, leaves the same files.
+The writer names a file by its partition and renames it when complete; where the name is
+taken, by an earlier attempt of the same task, that file stays. So a task that runs
+again, or twice, leaves the same files.
 
 Defined cases: a null url or html comes back as null, an empty one as empty; a null
-key as null; control characters in a url are percent-encoded; repeated rows are
-records each; an empty table gives an empty result; extra columns are not stored.
+key as null; keys may be of any type that casts to text and back; control characters in
+a url are percent-encoded; headers may be of any length; repeated rows are records each;
+an empty table gives an empty result; extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenscribe.llm.common import col
 from lumenscribe.session import run_dir
 
 CHUNK, ROLL_BYTES, BATCH_BYTES, LEVEL = 1 << 18, 1 << 30, 4 << 20, 6
-KEY_URI = "urn:record:"
-FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("n_bytes", pa.int64()), ("status", pa.string())]
-RECORD = "page_id bigint, url string, html string, n_bytes bigint, status string"
+KEY_URI, NULL_URI = "urn:record:", "urn:null-record:"
+FIELDS = [("page_id", pa.string()), ("url", pa.string()), ("html", pa.string()), ("n_bytes", pa.int64()), ("status", pa.string())]
+RECORD = "page_id string, url string, html string, n_bytes bigint, status string"
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -44,10 +48,10 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block, usedforsecurity=False).digest()).decode()
 
 
-def record_bytes(key: int | None, url: str | None, html: str | None, level: int = LEVEL) -> bytes:
+def record_bytes(key: str | int | None, url: str | None, html: str | None, level: int = LEVEL) -> bytes:
     """One record as one gzip member."""
     block = (html or "").encode()
-    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <{KEY_URI}{'' if key is None else key}>", "WARC-Date: 2000-01-01T00:00:00Z"]
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <{NULL_URI if key is None else KEY_URI + quote(str(key), safe='')}>", "WARC-Date: 2000-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     if html is None:
@@ -57,6 +61,16 @@ def record_bytes(key: int | None, url: str | None, html: str | None, level: int
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def settle(fs: pafs.FileSystem, temp: str, name: str) -> None:
+    """Give a complete file its name; one that has it, of an earlier attempt with the same rows, stays."""
+    try:
+        fs.move(temp, name)
+    except OSError:
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(temp)
+
+
 def write_warc(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", html: str = "html", level: int = LEVEL, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write pages as WARC files under out; file, records, bytes of each file written."""
 
@@ -70,7 +84,7 @@ def write_warc(pages: DataFrame, out: str, key: str = "page_id", url: str = "url
         def close():
             nonlocal file, part
             file.close()
-            fs.move(temp(), f"{home}/{name()}")
+            settle(fs, temp(), f"{home}/{name()}")
             done.append((name(), count, size))
             file, part = None, part + 1
 
@@ -88,7 +102,7 @@ def write_warc(pages: DataFrame, out: str, key: str = "page_id", url: str = "url
             close()
         yield pa.record_batch([pa.array([d[k] for d in done], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], names=["file", "records", "bytes"])
 
-    narrow = pages.select(col(key).cast("bigint").alias("k"), col(url).alias("u"), col(html).alias("h"))
+    narrow = pages.select(col(key).cast("string").alias("k"), col(url).alias("u"), col(html).alias("h"))
     listing = f"{out}/_written"
     narrow.mapInArrow(write, "file string, records bigint, bytes bigint").write.parquet(listing)
     return pages.sparkSession.read.schema("file string, records bigint, bytes bigint").parquet(listing)
@@ -112,14 +126,17 @@ class _Member:
         self.have += self.z.decompress(raw, 4 * self.chunk)
         return True
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
+    def header(self) -> bytes:
+        """All up to the first empty line, which only the member's end bounds."""
         seen = 0
-        while (k := self.have.find(mark, max(0, seen - len(mark)))) < 0:
+        while (k := self.have.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(self.have)
-            if seen > limit or not self.more():
+            if not b"WARC/".startswith(self.have[:5]) and not self.have.startswith(b"WARC/") or not self.more():
                 raise ValueError("bad header")
         out = bytes(self.have[:k])
-        del self.have[: k + len(mark)]
+        del self.have[: k + 4]
+        if not out.startswith(b"WARC/"):
+            raise ValueError("bad header")
         return out
 
     def exactly(self, n: int) -> bytes:
@@ -148,9 +165,7 @@ def read_records(file, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], byt
     while at < size:
         head, block, member = {}, None, _Member(file, at, chunk)
         try:
-            lines = member.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError("bad header")
+            lines = member.header().decode("utf-8", "replace").split("\r\n")
             head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
             n = int(head.get("content-length", "")) if head.get("content-length", "").isdigit() else -1
             if n < 0:
@@ -162,7 +177,13 @@ def read_records(file, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], byt
             at = member.end()
         except (zlib.error, EOFError, ValueError) as problem:
             status = {zlib.error: "bad gzip", EOFError: "truncated"}.get(type(problem), "bad header")
-            at = _next_member(file, at + 1, chunk)
+            try:  # the next record begins where a sound member ends
+                if status != "bad header":
+                    raise problem
+                member.rest()
+                at = member.end()
+            except (zlib.error, EOFError):
+                at = _next_member(file, at + 1, chunk)
         yield head, block, status
 
 
@@ -178,7 +199,7 @@ def _next_member(file, at: int, chunk: int) -> int:
     return file.size()
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
     """page_id, url, html, n_bytes, status of each record of the .warc.gz files under path.
 
     A file is one task's, as members can't be found without reading; Spark packs
@@ -195,9 +216,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     for head, block, status in read_records(file):
                         if head.get("warc-type") == "warcinfo":
                             continue
-                        key = head.get("warc-record-id", "")[1:-1].removeprefix(KEY_URI)
+                        key = head.get("warc-record-id", "")[1:-1]
+                        key = unquote(key.removeprefix(KEY_URI)) if key.startswith(KEY_URI) else None
                         html = None if block is None or "x-null-block" in head else block.decode("utf-8", "replace")
-                        out.append((int(key) if key.lstrip("-").isdigit() else None, head.get("warc-target-uri"), html, len(block or b""), status))
+                        out.append((key, head.get("warc-target-uri"), html, len(block or b""), status))
                         held += len(block or b"")
                         if held > BATCH_BYTES:
                             yield pack()
@@ -206,7 +228,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             yield pack()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select("path").mapInArrow(rows, RECORD)
+    found = files.select("path").mapInArrow(rows, RECORD)
+    return found.withColumn("page_id", F.expr(f"try_cast(page_id as {key_type})"))
 
 
 SQL = """

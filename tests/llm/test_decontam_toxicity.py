@@ -191,6 +191,53 @@ def test_scores_agree_with_the_training_forward_pass(network, labelled):
         assert abs(loss - np.logaddexp(0, -logit[k])) < 1e-3
 
 
+def plain_window(net, words):
+    """Logit of a window, a word and a state at a time, from the equations of the network."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def read(inputs, u, b):
+        n, states = len(b), []
+        h = np.zeros(n)
+        for x in inputs:
+            z, r = sig(x[:n] + h @ u[:, :n]), sig(x[n : 2 * n] + h @ u[:, n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * (h @ u[:, 2 * n :] + b))
+            states.append(h)
+        return states
+
+    p, vectors = {k: x.astype(float) for k, x in net.p.items()}, []
+    for w in words:
+        h = int(Texts(pa.array([w])).words(0, 1).hashes[0])
+        at = int(np.searchsorted(net.vocabulary, np.uint64(h)))
+        row = at + 1 if at < len(net.vocabulary) and int(net.vocabulary[at]) == h else 0
+        letters = [p["cfx"][c] for c in w.encode()], [p["cbx"][c] for c in w.encode()[::-1]]
+        vectors.append(np.concatenate([p["embedding"][row], read(letters[0], p["cfu"], p["cfb"])[-1], read(letters[1], p["cbu"], p["cbb"])[-1]]))
+    f = read([v @ p["wfx"] + p["wfc"] for v in vectors], p["wfu"], p["wfb"])
+    b = read([v @ p["wbx"] + p["wbc"] for v in vectors[::-1]], p["wbu"], p["wbb"])[::-1]
+    states = np.array([np.concatenate(x) for x in zip(f, b)])
+    a = np.exp(states @ p["attention"] - (states @ p["attention"]).max())
+    return (a / a.sum()) @ states @ p["out"] + p["bias"][0]
+
+
+def test_scores_equal_a_plain_forward_pass(spark, network, labelled):
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t, _ in labelled[:6]] + [("short", "One two")], "doc_id string, text string")
+    for r in toxicity._score(docs.selectExpr("doc_id", "lower(text) as text"), network, 0.0).collect():
+        words = re.findall(WORD_RE, dict(docs.collect())[r["doc_id"]].lower())
+        starts = [0]
+        while starts[-1] + toxicity.WINDOW < len(words):
+            starts.append(starts[-1] + toxicity.STEP)
+        logits = [plain_window(network, words[s : s + toxicity.WINDOW]) for s in starts]
+        assert r["n_windows"] == len(starts) and r["n_toxic_windows"] == sum(x > 0 for x in logits)
+        assert abs(r["score"] - 1 / (1 + np.exp(-max(logits)))) < 1e-3 and r["first_word"] == starts[int(np.argmax(logits))]
+
+
+def test_training_takes_present_documents_only(spark, labelled):
+    docs = spark.createDataFrame([(k, t) for k, t, _ in labelled[:60]] + [(5000, None)], "doc_id bigint, text string")
+    absent = [(10_000 + k, 1) for k in range(500)]
+    labels = spark.createDataFrame([(k, y) for k, _, y in labelled] + absent + [(5000, 1)], "doc_id bigint, toxic int")
+    sample = toxicity.training_sample(docs, labels, max_toxic=10, max_clean=15)
+    assert sample["toxic"].sum() == 10 and len(sample) == 25 and set(sample["k"]) <= set(range(60))
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs, labelled):
     docs = spark.createDataFrame(labelled, "doc_id bigint, text string, y int")
     labels = docs.selectExpr("doc_id", "1 as quality", "y as toxic").union(spark.createDataFrame([(None, 1, 1), (5, 1, None), (10**9, 0, 1)], "doc_id bigint, quality int, toxic int"))
@@ -213,6 +260,13 @@ def test_toxicity_scores_odd_rows(network, odd_docs):
     assert next(r for r in rows if r["doc_id"] == 6)["n_windows"] > 2000
 
 
+def test_pipeline_of_an_empty_table(spark, no_docs, tmp_path):
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, odd_docs, labelled, tmp_path):
     """Each stage of the pipeline keeps what its operator keeps, in its predecessor's columns."""
     extra = spark.createDataFrame([(1000 + k, t, "en", "c", len(t), 1, "s", "d") for k, t, _ in labelled], odd_docs.schema)

@@ -41,6 +41,34 @@ def test_versions_are_kept(spark):
         maps.commit(sharding.initial_map(spark, 16, 2), 2)
 
 
+def test_new_data_edit_the_stored_map(spark):
+    path = run_dir(spark, "test-maps")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    sharding.shard_documents(docs, 64, 4, path)
+    maps = sharding.SlotMaps(spark, path)
+    assert maps.versions() == [1, 2]
+    before = {r["slot"]: r["shard"] for r in maps.latest().collect()}
+    grown = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.repeat("text", F.lit(9))).otherwise(F.col("text")))
+    out = sharding.shard_documents(grown, 64, 4, path)
+    assert maps.versions() == [1, 2, 3]
+    after = {r["slot"]: r["shard"] for r in maps.latest().collect()}
+    assert 0 < sum(before[s] != after[s] for s in after) < 32
+    assert {(r[0], r[1]) for r in out.select("slot", "shard").distinct().collect()} == set(after.items())
+    with_more = {r["slot"]: r["shard"] for r in sharding.shard_documents(grown, 64, 5, path).select("slot", "shard").distinct().collect()}
+    assert maps.versions()[-1] == 4 and set(with_more.values()) == set(range(5))
+
+
+def test_equal_hashes_stay_or_go_together_and_long_texts_count_whole(spark):
+    rows = [(7, "s", "w " * 5)] * 3 + [(k, "s", "w " * 5) for k in range(20, 40)] + [(50, "t", "w " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    for share in range(5, 100, 10):
+        assert mixing.mix_documents(docs, share_pct=share, weights={}).where("doc_id = 7").count() in (0, 3)
+    weighed = {r["key"]: r["tokens"] for r in mixing.weighed(docs).collect()}
+    assert weighed[50] == 300_000
+    sizes = sharding.slot_bytes(docs).agg(F.sum("bytes")).first()[0]
+    assert sizes == sum(len(t) for *_, t in rows)
+
+
 def test_sharding_odd_rows(spark, odd_docs, no_docs):
     out = sharding.shard_documents(odd_docs)
     assert out.count() == odd_docs.count() and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "tier", "a.b", "slot", "shard"]

@@ -1,4 +1,5 @@
 import base64
+import math
 import re
 import textwrap
 from collections import Counter
@@ -135,6 +136,39 @@ def test_signatures_collide_as_often_as_the_weighted_jaccard():
         assert (fingerprints.sign(terms, counts, doc, 64, at_once=7) == fingerprints.sign(terms, counts, doc, 64)).all()
 
 
+def test_signatures_equal_a_plain_loop(spark):
+    """Every word and sample in turn, with plain floats."""
+    texts = ["a b b c c c " * 3 + "long tail of it", "x", "b " * 500 + "a c", "Ünï b b"]
+    docs = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)], "name string, text string")
+    got = {r["doc_id"]: r["signature"] for r in fingerprints.fingerprint(docs, "name", samples=16).collect()}
+    for k, text in enumerate(texts):
+        want, bag = [], Counter(re.findall(WORD_RE, text.lower()))
+        hashes = {w: int(Texts(pa.array([w])).words(0, 1).hashes[0]) for w in bag}
+        uniform = lambda h, j, n: ((mixed(h ^ ((j * 5 + n + 1) * 0x9E3779B97F4A7C15 & M)) >> 11) + 0.5) * 2.0**-53
+        for j in range(16):
+            best = None
+            for w in sorted(bag, key=hashes.get):
+                u = [uniform(hashes[w], j, n) for n in range(5)]
+                r, c = -math.log(u[0] * u[1]), -math.log(u[3] * u[4])
+                t = math.floor(math.log(bag[w]) / r + u[2])
+                a = math.log(c) - r * (t - u[2] + 1)
+                if best is None or a < best[0]:
+                    best = a, mixed(hashes[w] ^ mixed(t & M)) >> 1
+            want.append(best[1])
+        assert got[f"k{k}"] == want
+
+
+M = 2**64 - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
 def test_fingerprints_odd_rows(odd_docs, no_docs):
     rows = fingerprints.fingerprint(odd_docs).collect()
     assert len(rows) == odd_docs.count()

@@ -1,7 +1,9 @@
 import gzip
 import io
+import zlib
 
 import pytest
+from pyarrow import fs as pafs
 
 from lumenscribe.llm import warc
 from lumenscribe.session import run_dir
@@ -44,6 +46,44 @@ def test_what_is_wrong_is_told_and_the_next_record_is_read():
     assert read(bytes(broken) + other)[-1][2] == "ok"
 
 
+def test_a_bad_header_costs_its_own_record_only():
+    """Chance gzip magics inside a sound member are no records; headers of any length are read."""
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    noise = stored.compress(b"HTTP/1.0\r\n\r\n" + b"\x1f\x8b\x08" * 50) + stored.flush()
+    assert [s for *_, s in read(noise + member(2, "u", "x"))] == ["bad header", "ok"]
+    out = read(member(1, "u" * 3_000_000, "x"), 1 << 16)
+    assert out[0][1:] == (b"x", "ok")
+
+
+def test_a_name_that_is_taken_keeps_its_file(tmp_path):
+    class NoReplace:
+        def __init__(self):
+            self.fs = pafs.LocalFileSystem()
+
+        def move(self, a, b):
+            if self.fs.get_file_info(b).type != pafs.FileType.NotFound:
+                raise OSError("exists")
+            self.fs.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    (tmp_path / "t1").write_text("one")
+    (tmp_path / "t2").write_text("two")
+    for temp in ("t1", "t2"):
+        warc.settle(NoReplace(), str(tmp_path / temp), str(tmp_path / "part"))
+    assert (tmp_path / "part").read_text() == "one" and not (tmp_path / "t2").exists()
+    with pytest.raises(OSError):
+        warc.settle(NoReplace(), str(tmp_path / "t3"), str(tmp_path / "other"))
+
+
+def test_text_keys(spark):
+    home = run_dir(spark, "test-warc")
+    rows = [("a b>\r\n", "u", "x"), ("", "u", "y"), (None, "u", "z"), ("é%41", None, "")]
+    warc.write_warc(spark.createDataFrame(rows, "name string, url string, html string"), home, "name")
+    assert {tuple(r)[:3] for r in warc.read_warc(spark, home, "string").collect()} == set(rows)
+
+
 @pytest.mark.parametrize("roll", [1, 1 << 30])
 def test_round_trip(spark, roll):
     rows = [(1, "http://a/1", "<p>x</p>"), (2, None, "y"), (3, "", ""), (4, "http://a", None), (None, "http://b", "z"), (1, "http://a/1", "<p>x</p>"), (5, "u", "long " * 100_000)]
