@@ -10,6 +10,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of texts that go to a Python worker at once, unless the session sets its own number.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents may be long: keep Arrow batches below Spark's 10 000 rows, in the worker's memory and the JVM's."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
