@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, BooleanType, DateType, IntegralType, NumericType, StringType, TimestampType
 
-from lumenscribe.session import run_dir
+from lumenscribe.session import run_dir, small_batches
 
 #: Rows and bytes of a small side that may be broadcast; beyond either Spark's own join runs.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
@@ -83,6 +83,7 @@ def with_keys(df: DataFrame, docs: DataFrame, key: str, **names: str) -> DataFra
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn on each Arrow batch; it may return None for no rows."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -94,6 +95,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder as Parquet, which is smaller than a checkpoint, and read again."""
+    small_batches(df.sparkSession)
     df.write.parquet(out := run_dir(df.sparkSession, label))
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
