@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ def between(seed: int, tag: str | Column, key: Column, low: int, high: int) -> C
     return below(seed, tag, key, high - low + 1) + low
 
 
+def plain_u32(seed: int, tag: str, key: object) -> int:
+    """u32 outside of Spark, for kernels: the same number."""
+    return int(hashlib.md5(f"{seed}:{tag}:{key}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+
+def plain_between(seed: int, tag: str, key: object, low: int, high: int) -> int:
+    return plain_u32(seed, tag, key) % (high - low + 1) + low
+
+
 def sql_u32(seed: int, tag: str, key: str) -> str:
     """u32 as DuckDB SQL; tag and key are SQL expressions."""
     return f"('0x' || substr(md5('{seed}:' || {tag} || ':' || ({key})::varchar), 1, 8))::bigint"

@@ -65,10 +65,10 @@ def wave_reach(kind: str, height: Column) -> Column:
     return trunc(F.pow(height.cast("double"), F.lit(0.4)) if kind == "jitter" else F.sqrt(height))
 
 
-def wave_offset(kind: str, at: Column, reach: Column, seed: int = 0, key: Column | None = None) -> Column:
-    """The shift of a column or row: a sine, a cosine, or a draw of 0 .. reach."""
+def wave_offset(kind: str, at: Column, reach: Column, seed: int = 0, key: Column | None = None, axis: str = "down") -> Column:
+    """The shift of a column (down) or row (right): a sine, a cosine, or a draw of 0 .. reach, of its own for each axis."""
     if kind == "jitter":
-        return u32(seed, "jitter", F.concat_ws(".", key.cast("string"), at.cast("string"))) % (reach + 1)
+        return u32(seed, f"jitter-{axis}", F.concat_ws(".", key.cast("string"), at.cast("bigint").cast("string"))) % (reach + 1)
     turn = {"sin": F.sin, "cos": F.cos}[kind]
     return trunc(F.round(turn(F.radians(at.cast("double"))) * reach, 9))
 
@@ -88,31 +88,46 @@ def wave_span(kind: str, width: Column, reach: Column) -> Column:
 
 
 def wave_box(b: Column, kind: str, vertical: bool, horizontal: bool, width: Column, height: Column, seed: int = 0, key: Column | None = None, parity: bool = True) -> Column:
-    """Each corner moved as its pixels are.
+    """Each corner moved as its pixels are; corners of the canvas's far edges are no pixels and stay.
 
-    parity keeps a known quirk: of a horizontal wave alone, boxes lack the margin that
-    pixels get.
+    parity keeps known quirks: of a horizontal wave alone, boxes lack the margin that
+    pixels get, and corners on the far edges stay where they were. Without it they move
+    as the last pixel does; so it is drawn.
     """
     if not (vertical or horizontal):
         return b
     reach = wave_reach(kind, height)
-    off = lambda at: wave_offset(kind, at, reach, seed, key)
+    if not parity:
+        return _drawn_wave(b, kind, vertical, horizontal, width, height, reach, seed, key)
+    off = lambda at, axis: wave_offset(kind, at, reach, seed, key, axis)
     rows = height + wave_span(kind, width, reach) if vertical else height
     out = []
     for x, y in _corners(b):
         new_x, new_y = x, y
         if vertical:
             inside = (x >= 0) & (x < width)
-            new_y = F.when(inside, y + reach + off(x)).otherwise(y)
+            new_y = F.when(inside, y + reach + off(x, "down")).otherwise(y)
             new_x = F.when(inside & F.lit(horizontal), x + reach).otherwise(x)
-        elif not parity:
-            new_x = x + reach
         if horizontal:
-            new_x = F.when((new_y >= 0) & (new_y < rows), new_x + off(new_y)).otherwise(new_x)
+            new_x = F.when((new_y >= 0) & (new_y < rows), new_x + off(new_y, "right")).otherwise(new_x)
         out.append((new_x, new_y))
     return _hull(out)
 
 
+def _drawn_wave(b: Column, kind: str, vertical: bool, horizontal: bool, width: Column, height: Column, reach: Column, seed: int, key: Column | None) -> Column:
+    """Truncated corners, moved as the pixel there or the last one before the edge; the canvas grows by twice the reach."""
+    within = lambda at, n: F.greatest(F.lit(0), F.least(at, n - 1))
+    out = []
+    for x, y in _corners(b):
+        x, y = trunc(x), trunc(y)
+        if vertical:
+            y = y + reach + wave_offset(kind, within(x, width), reach, seed, key, "down")
+        if horizontal:
+            x = x + reach + wave_offset(kind, within(y, height + 2 * reach), reach, seed, key, "right")
+        out.append((x, y))
+    return _hull(out)
+
+
 def scale_box(b: Column, ratio: Column) -> Column:
     return box(*(trunc(b[k] * ratio) for k in SIDES))
 

@@ -13,6 +13,8 @@ import zlib
 
 import numpy as np
 
+from lumenscribe.functions.draws import plain_u32
+
 MODES = {"L": 1, "RGB": 3, "RGBA": 4}
 
 
@@ -159,10 +161,11 @@ def turn_boxes(boxes: np.ndarray, angle: float, width: int, height: int) -> np.n
     return np.stack([tx.min(1), ty.min(1), tx.max(1), ty.max(1)], axis=1)
 
 
-def offsets(kind: str, n: int, reach: int, rng: np.random.Generator | None = None) -> np.ndarray:
+def offsets(kind: str, n: int, reach: int, seed: int = 0, key: object = None, axis: str = "down") -> np.ndarray:
+    """geometry.wave_offset of places 0 .. n-1."""
     if kind == "jitter":
-        return rng.integers(0, reach + 1, n)
-    return np.trunc({"sin": np.sin, "cos": np.cos}[kind](np.radians(np.arange(n))) * reach).astype(int)
+        return np.array([plain_u32(seed, f"jitter-{axis}", f"{key}.{at}") % (reach + 1) for at in range(n)], int)
+    return np.trunc(np.round({"sin": np.sin, "cos": np.cos}[kind](np.radians(np.arange(n))) * reach, 9)).astype(int)
 
 
 def reach_of(kind: str, height: int) -> int:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenscribe.functions import naming
+from lumenscribe.functions.draws import plain_between
 from lumenscribe.functions.glyphs import FIELD_OF_ROLE, FIELDS, SARA_AM_NAME, role_rules
 from lumenscribe.operators import raster
 from lumenscribe.operators.layout import INKLESS_HEIGHT, OVERLAP
@@ -157,13 +158,13 @@ class FontFace:
         return [(role, box)]
 
 
-def lay_out(text: str, face, size: int, p: Params, fill: tuple, stroke: tuple, first: int = 0):
-    """RGBA image, RGB mask and positions (name, boxes by field) of a horizontal line."""
+def placed(text: str, face, size: int, spacing: int = 0) -> list[tuple]:
+    """name, x, y (of a lifted tone), advance, outlines, boxes of each glyph of a line."""
     scale, x, top, items = size / face.em, 0.0, -math.inf, []
     for char in text:
         for k, one in enumerate((NIKHAHIT, SARA_AA) if char == SARA_AM and face.has(NIKHAHIT) and face.has(SARA_AA) else (char,)):
             name, advance, contours, parts = face.glyph(one)
-            advance = (0 if k == 0 and char == SARA_AM and one != char else advance * scale) + max(p.character_spacing, 0) * (k == 0)
+            advance = (0 if k == 0 and char == SARA_AM and one != char else advance * scale) + max(spacing, 0) * (k == 0)
             boxes, y = [(r, tuple(v * scale for v in b)) for r, b in parts], 0.0
             roles = {r for r, _ in boxes}
             if roles & {"BASE", "LEADING_VOWEL", "LOWER_VOWEL"}:
@@ -175,6 +176,16 @@ def lay_out(text: str, face, size: int, p: Params, fill: tuple, stroke: tuple, f
                     top = max(top, y + max(b[3] for _, b in boxes))
             items.append((name, x, y, advance, [c * scale for c in contours], boxes))
             x += advance
+    return items
+
+
+def lifts(text: str, face, size: int) -> list[float]:
+    return [y for _, _, y, *_ in placed(text, face, size)]
+
+
+def lay_out(text: str, face, size: int, p: Params, fill: tuple, stroke: tuple, first: int = 0):
+    """RGBA image, RGB mask and positions (name, boxes by field) of a horizontal line."""
+    items = placed(text, face, size, p.character_spacing)
     spans = [(x + b[0], x + b[2], y + b[1], y + b[3]) for _, x, y, _, _, boxes in items for _, b in boxes]
     spans += [(x, x + a, y, y + size * INKLESS_HEIGHT) for _, x, y, a, _, boxes in items if not boxes and a > 0]
     x1, x2, y1, y2 = (f(s[k] for s in spans) for k, f in enumerate((min, max, min, max))) if spans else (0, 1, 0, size)
@@ -287,26 +298,28 @@ def vertical(text: str, face, p: Params, fill: tuple, stroke: tuple):
 def sample(idx: int, text: str, face, p: Params, seed: int, latin=None, pictures: list[np.ndarray] = ()) -> dict | None:
     """Everything of one sample, or None if it has no size or can't be told from its background."""
     pick = lambda tag: raster.draw(seed, idx, tag)
-    color = lambda text, tag: tuple(int(pick(tag + c).integers(min(a, b), max(a, b) + 1)) for c, a, b in zip("rgb", *naming.parse_colors(text)))
+    # what Column expressions draw too is drawn as they do: naming.pick_color, the skew, geometry's waves
+    among = lambda tag, low, high: plain_between(seed, tag, idx, low, high)
+    color = lambda text, tag: tuple(among(f"{tag}-{c}", min(a, b), max(a, b)) for c, a, b in zip("rgb", *naming.parse_colors(text)))
     fill, stroke = color(p.text_color, "fill"), color(p.stroke_fill, "stroke")
     image, mask, found = horizontal(text, face, p, fill, stroke, latin) if p.orientation == 0 else vertical(text, face, p, fill, stroke)
     keys = [(k, f) for k, (_, _, place) in enumerate(found) for f in place]
     boxes = np.array([found[k][2][f] for k, f in keys], float).reshape(-1, 4)
 
-    angle = int(pick("skew").integers(-p.skewing_angle, p.skewing_angle + 1)) if p.random_skew else p.skewing_angle
+    angle = among("skew", -abs(p.skewing_angle), abs(p.skewing_angle)) if p.random_skew else p.skewing_angle
     boxes = raster.turn_boxes(boxes, angle, image.shape[1], image.shape[0])
     image, mask = raster.turn(image, angle, True), raster.turn(mask, angle, False)
 
     if p.distorsion_type == 3:
-        amplitude = int(pick("curve").integers(5, (p.distorsion_orientation or 20) + 1))
+        amplitude = among("curve", 5, p.distorsion_orientation or 20)
         boxes = raster.curve_boxes(boxes, amplitude, image.shape[1])
         image, mask = raster.curve(image, amplitude), raster.curve(mask, amplitude)
     elif p.distorsion_type and p.distorsion_orientation in (0, 1, 2):
         kind = {1: "sin", 2: "cos"}.get(p.distorsion_type, "jitter")
         h, w = image.shape[:2]
         reach = raster.reach_of(kind, h)
-        down = raster.offsets(kind, w, reach, pick("down")) if p.distorsion_orientation in (0, 2) else None
-        right = raster.offsets(kind, h + 2 * reach, reach, pick("right")) if p.distorsion_orientation in (1, 2) else None
+        down = raster.offsets(kind, w, reach, seed, idx, "down") if p.distorsion_orientation in (0, 2) else None
+        right = raster.offsets(kind, h + 2 * reach if down is not None else h, reach, seed, idx, "right") if p.distorsion_orientation in (1, 2) else None
         boxes = raster.wave_boxes(boxes, reach, down, right)
         image, mask = raster.wave(image, reach, down, right), raster.wave(mask, reach, down, right)
 

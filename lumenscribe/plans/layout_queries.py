@@ -105,7 +105,7 @@ def fallback_layout(spark, sf_dir):
 # Boxes derived from orders' lines, on canvases of 100 x 20 to 499 x 79.
 _BOXES = """
 boxes as (
-  select l_orderkey, l_linenumber, l_partkey, l_orderkey % 400 + 100 as w, l_partkey % 60 + 20 as h, l_partkey % 90 as x1, l_suppkey % 15 as y1,
+  select row_number() over () as rid, l_orderkey, l_linenumber, l_partkey, l_orderkey % 400 + 100 as w, l_partkey % 60 + 20 as h, l_partkey % 90 as x1, l_suppkey % 15 as y1,
          l_partkey % 90 + 1 + l_quantity::bigint as x2, l_suppkey % 15 + 1 + l_linenumber * 3 as y2 from lineitem)"""
 
 
@@ -129,11 +129,11 @@ with {_BOXES}, sized as (select *, ceil(round(w * {_C} + h * {_S}, 6))::bigint a
 corners as (select s.*, unnest([x1, x2, x2, x1]) as x, unnest([y1, y1, y2, y2]) as y from sized s),
 turned as (select *, (x - w / 2) * {_C} + (y - h / 2) * {_S} + nw / 2 as tx, (y - h / 2) * {_C} - (x - w / 2) * {_S} + nh / 2 as ty from corners)
 select l_orderkey, l_linenumber, l_partkey, round(min(tx), 6) as x1, round(min(ty), 6) as y1, round(max(tx), 6) as x2, round(max(ty), 6) as y2, any_value(nw) as width, any_value(nh) as height
-from turned group by l_orderkey, l_linenumber, l_partkey, w, h, turned.x1, turned.y1, turned.x2, turned.y2
+from turned group by rid, l_orderkey, l_linenumber, l_partkey
 """)
 def rotate_boxes(spark, sf_dir):
     """Boxes turned by 15 degrees with their canvas, which grows to hold all of it."""
-    boxes = line_boxes(spark, sf_dir).dropDuplicates()
+    boxes = line_boxes(spark, sf_dir)
     nw, nh = geometry.rotated_size(F.col("w"), F.col("h"), 15)
     return _out(boxes, geometry.rotate_box(F.col("b"), 15, F.col("w"), F.col("h")), nw.alias("width"), nh.alias("height"), digits=6)
 
@@ -152,23 +152,23 @@ def curve_boxes(spark, sf_dir):
 
 
 def _wave_sql(kind: str, vertical: bool, horizontal: bool) -> str:
-    off = lambda at: f"trunc(round({kind}(radians(({at})::double)) * m, 9))::bigint" if kind != "jitter" else f"({sql_u32(SEED, repr('jitter'), f'l_orderkey || chr(46) || ({at})')} % (m + 1))"
+    off = lambda at, axis="down": f"trunc(round({kind}(radians(({at})::double)) * m, 9))::bigint" if kind != "jitter" else f"({sql_u32(SEED, repr(f'jitter-{axis}'), f'l_orderkey || chr(46) || ({at})')} % (m + 1))"
     span = {"sin": f"case when w >= 91 then m else {off('w - 1')} end - case when w >= 271 then -m when w >= 181 then {off('w - 1')} else 0 end", "cos": f"m - case when w >= 181 then -m else least({off('w - 1')}, 0) end", "jitter": "m"}[kind]
     rows = f"h + {span}" if vertical else "h"
     ny = f"case when x >= 0 and x < w then y + m + {off('x')} else y end" if vertical else "y"
     nx = "case when x >= 0 and x < w then x + m else x end" if vertical and horizontal else "x"
-    last = f"case when ny >= 0 and ny < rows then nx + {off('ny')} else nx end" if horizontal else "nx"
+    last = f"case when ny >= 0 and ny < rows then nx + {off('ny', 'right')} else nx end" if horizontal else "nx"
     return f"""
 with {_BOXES}, reach as (select *, trunc({'sqrt(h)' if kind != 'jitter' else 'pow(h, 0.4)'})::bigint as m from boxes),
 corners as (select r.*, {rows} as rows, unnest([x1, x2, x2, x1]) as x, unnest([y1, y1, y2, y2]) as y from reach r),
 first as (select *, {nx} as nx, {ny} as ny from corners), second as (select *, {last} as fx from first)
 select l_orderkey, l_linenumber, l_partkey, min(fx)::bigint as x1, min(ny)::bigint as y1, max(fx)::bigint as x2, max(ny)::bigint as y2
-from second group by l_orderkey, l_linenumber, l_partkey, w, h, second.x1, second.y1, second.x2, second.y2"""
+from second group by rid, l_orderkey, l_linenumber, l_partkey"""
 
 
 def _wave_query(kind: str, vertical: bool, horizontal: bool):
     def run(spark, sf_dir):
-        boxes = line_boxes(spark, sf_dir).dropDuplicates()
+        boxes = line_boxes(spark, sf_dir)
         return _out(boxes, geometry.wave_box(F.col("b"), kind, vertical, horizontal, F.col("w"), F.col("h"), SEED, F.col("l_orderkey")))
 
     run.__doc__ = f"Boxes under a {kind} wave, vertical: {vertical}, horizontal: {horizontal}."
@@ -224,7 +224,7 @@ boxed as (
   from stopped where stops = 0 and k - pk = 2)"""
 
 
-def _mask_boxes(spark: SparkSession, sf_dir: str, tess: bool) -> DataFrame:
+def _mask_boxes(spark: SparkSession, sf_dir: str, *tess: bool) -> DataFrame:
     rows = layout.laid_out(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text")), "text", SIZE, 2)
     # extents by place in the text: a space has none
     place = F.filter(F.transform(layout.chars(F.col("text")), lambda c, i: F.when(c != " ", i + 1)), lambda k: k.isNotNull())
@@ -234,12 +234,12 @@ def _mask_boxes(spark: SparkSession, sf_dir: str, tess: bool) -> DataFrame:
         return F.struct(k.alias("k"), g["x"].cast("bigint").alias("minx"), (20 + code % 3).alias("miny"), (g["x"] + right).cast("bigint").alias("maxx"), (40 + code % 5).alias("maxy"))
 
     extents = F.zip_with(place, F.col("layout.glyphs"), extent)
-    return rows.select("p_partkey", "text", masks.boxes(extents, F.lit(400), F.lit(64), tess).alias("boxes"))
+    return rows.select("p_partkey", "text", *(masks.boxes(extents, F.lit(400), F.lit(64), t).alias(f"boxes{k}") for k, t in enumerate(tess)))
 
 
 def _mask_query(name: str, tess: bool):
     def run(spark, sf_dir):
-        rows = _mask_boxes(spark, sf_dir, tess).select("p_partkey", F.posexplode("boxes").alias("k", "b"))
+        rows = _mask_boxes(spark, sf_dir, tess).select("p_partkey", F.posexplode("boxes0").alias("k", "b"))
         return rows.select("p_partkey", "k", *(F.col(f"b.{s}").cast("bigint").alias(s) for s in geometry.SIDES))
 
     QUERIES[name] = run
@@ -258,9 +258,8 @@ select p_partkey, boxes_txt, tess_box from plain join tess using (p_partkey)
 """)
 def boxes_text(spark, sf_dir):
     """Contents of the box files of every name."""
-    plain, tess = _mask_boxes(spark, sf_dir, False), _mask_boxes(spark, sf_dir, True)
-    tess = tess.select("p_partkey", naming.tess_file(F.col("boxes"), F.col("text")).alias("tess_box"))
-    return plain.select("p_partkey", naming.box_file(F.col("boxes")).alias("boxes_txt")).join(tess, "p_partkey")
+    rows = _mask_boxes(spark, sf_dir, False, True)
+    return rows.select("p_partkey", naming.box_file(F.col("boxes0")).alias("boxes_txt"), naming.tess_file(F.col("boxes1"), F.col("text")).alias("tess_box")).where("size(boxes0) > 0")
 
 
 _META = f"""
