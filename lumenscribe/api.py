@@ -23,7 +23,7 @@ class _Samples:
     def __init__(self, spark: SparkSession, count: int = -1, fonts: list[str] | None = None, seed: int = 0, **params):
         self.spark, self.count, self.seed = spark, count, seed
         self.fonts = spark.createDataFrame(list(enumerate(fonts)), "pos bigint, font string") if fonts else None
-        self.params = replace(render.Params(), **params).checked()
+        self.params = replace(render.Params(extension="png"), **params | {"extension": "png"}).checked()  # pixels are handed out as they are
         self.made, self._rows = 0, iter(())
 
     def texts(self, requests: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ FLAGS = [
     ("c", "count", int, 0, "samples at most; 0 for all lines, or 1000 without a file"), ("rs", "random_sequences", None, False, "random text"),
     ("let", "include_letters", None, False, "letters in random text"), ("num", "include_numbers", None, False, "digits in random text"), ("sym", "include_symbols", None, False, "symbols in random text"),
     ("w", "length", int, 1, "words a text"), ("r", "random", None, False, "1 to length words"), ("f", "format", int, 32, "height, or width if vertical"),
-    ("t", "thread_count", int, 1, "local cores"), ("e", "extension", str, "png", "image format"), ("k", "skew_angle", int, 0, "degrees"), ("rk", "random_skew", None, False, "up to that angle either way"),
+    ("t", "thread_count", int, 1, "local cores"), ("e", "extension", str, "jpg", "image format: jpg or png"), ("k", "skew_angle", int, 0, "degrees"), ("rk", "random_skew", None, False, "up to that angle either way"),
     ("wk", "use_wikipedia", None, False, "sentences of the articles in the input file"), ("bl", "blur", int, 0, "blur radius"), ("rbl", "random_blur", None, False, "up to that radius"),
     ("b", "background", int, 0, "0 noise, 1 white, 2 quasicrystal, 3 pictures"), ("hw", "handwritten", None, False, "not available"), ("na", "name_format", int, 0, "0 text_number, 1 number_text, 2 number"),
     ("om", "output_mask", int, 0, "1: masks too"), ("obb", "output_bboxes", int, 0, "1: boxes, 2: in Tesseract's form"), ("oc", "output_coco", None, False, "metadata and COCO files"),

@@ -15,13 +15,13 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenscribe.functions import naming
 from lumenscribe.functions.draws import plain_between
 from lumenscribe.functions.glyphs import FIELD_OF_ROLE, FIELDS, SARA_AM_NAME, role_rules
-from lumenscribe.operators import raster
+from lumenscribe.operators import jpeg, raster
 from lumenscribe.operators.layout import INKLESS_HEIGHT, OVERLAP
 from lumenscribe.sources import truetype
 
@@ -36,7 +36,7 @@ class Params:
     """What all samples of a run share; the names and defaults of the constructor's arguments."""
 
     size: int = 32
-    extension: str = "png"
+    extension: str = "jpg"
     skewing_angle: int = 0
     random_skew: bool = False
     blur: float = 0
@@ -70,8 +70,10 @@ class Params:
             raise ValueError("vertical handwritten text is unavailable" if self.orientation == 1 else "handwritten text needs a network and weights that are not part of this library")
         if self.orientation not in (0, 1):
             raise ValueError(f"no such orientation: {self.orientation}")
-        if self.extension != "png":
-            raise ValueError(f"there is an encoder for png only, not for {self.extension}")
+        if self.extension not in ("png", "jpg", "jpeg"):
+            raise ValueError(f"there are encoders for png and jpg only, not for {self.extension}")
+        if self.extension != "png" and self.image_mode == "RGBA":
+            raise ValueError("a JPEG image has no alpha: give another extension or mode")
         if self.distorsion_type == 3 and 0 < self.distorsion_orientation < 5:
             raise ValueError("a curve is 5 pixels high at least")
         if self.image_mode not in (*raster.MODES, "1"):
@@ -369,7 +371,7 @@ def sample(idx: int, text: str, face, p: Params, seed: int, latin=None, pictures
     name = re.sub(naming.FORBIDDEN, "", unicodedata.normalize("NFC", name))[:200]
     return {
         "idx": idx, "text": text, "file_name": f"{name}.{p.extension}", "bucket": f"{idx // naming.BUCKET_SIZE:04d}", "width": width, "height": height,
-        "image": raster.png(raster.blur(raster.converted(canvas, p.image_mode), radius)),
+        "image": (raster.png if p.extension == "png" else jpeg.encode)(raster.blur(raster.converted(canvas, p.image_mode), radius)),
         "mask": raster.png(raster.blur(raster.converted(marks, p.image_mode), radius)) if p.output_mask else None,
         "boxes": listed, "char_positions": positions, "text_offset": [x, top],
     }
@@ -399,13 +401,15 @@ def rendered(requests: DataFrame, params: Params, seed: int, rows_per_task: int
     images never move. Memory holds a few hundred encoded images.
     """
     params = params.checked()
+    spark = requests.sparkSession
+    shared = spark.sparkContext.broadcast(load_pictures(spark, params.image_dir)) if params.background_type > 2 else None
     if "font" not in requests.columns:
         requests = requests.withColumn("font", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         faces: dict = {None: GridFace()}
         latin = FontFace(params.latin_font) if params.latin_font else None
-        pictures = load_pictures(params.image_dir) if params.background_type > 2 else []
+        pictures = shared.value if shared else []
         names = "idx text font file_name bucket width height image mask boxes char_positions text_offset".split()
         for pdf in batches:
             out = []
@@ -426,15 +430,20 @@ def rendered(requests: DataFrame, params: Params, seed: int, rows_per_task: int
     return narrow.repartition(max(1, -(-narrow.count() // rows_per_task)), "idx").mapInPandas(run, SCHEMA)
 
 
-def load_pictures(folder: str) -> list[np.ndarray]:
-    """PNG pictures of a folder, by name."""
-    import os
+#: Bytes of the background pictures that go to every task.
+PICTURE_BYTES = 256 << 20
 
+
+def load_pictures(spark: SparkSession, folder: str) -> list[np.ndarray]:
+    """RGBA pictures of a folder on any file system, by name: all formats that the JVM reads; other files are left out."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    size = rows.agg(F.sum(F.col("height").cast("bigint") * F.col("width") * 4)).first()[0] or 0
+    if size > PICTURE_BYTES:
+        raise ValueError(f"the pictures take {size} bytes, more than {PICTURE_BYTES}: give smaller ones or fewer")
     out = []
-    for name in sorted(os.listdir(folder)) if folder and os.path.isdir(folder) else []:
-        if name.lower().endswith(".png"):
-            with open(os.path.join(folder, name), "rb") as file:
-                out.append(raster.rgba(raster.unpng(file.read())))
+    for r in rows.orderBy("origin").toLocalIterator():
+        pixels = np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+        out.append(raster.rgba(pixels[:, :, [2, 1, 0, 3][: r["nChannels"]]] if r["nChannels"] > 1 else pixels[:, :, 0]))  # the source gives blue first
     return out
 
 

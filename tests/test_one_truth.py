@@ -85,7 +85,7 @@ def test_curves_agree(spark, rows):
 ])
 def test_samples_agree_with_columns(spark, params):
     """Layout, turning, distortion, scaling, alignment, names of whole samples, recomputed by expressions alone."""
-    p = render.Params(**{"background_type": 1} | params).checked()
+    p = render.Params(**{"background_type": 1, "extension": "png"} | params).checked()
     texts = list(enumerate(TEXTS))[2:3] if p.random_skew else list(enumerate(TEXTS))
     angle = plain_between(SEED, "skew", 2, -p.skewing_angle, p.skewing_angle) if p.random_skew else p.skewing_angle
     scale = p.size / render.GridFace.em

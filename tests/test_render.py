@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenscribe import api, cli
-from lumenscribe.operators import raster, render
+from lumenscribe.operators import jpeg, raster, render
 from lumenscribe.sources import truetype
 from lumenscribe.streaming import micro_batch
 
@@ -15,7 +15,7 @@ needs_font = pytest.mark.skipif(not os.path.exists(FONT), reason="no such font h
 
 
 def drawn(text="TEST TEST", idx=3, face=None, **params):
-    return render.sample(idx, text, face or render.GridFace(), render.Params(**params).checked(), 1)
+    return render.sample(idx, text, face or render.GridFace(), render.Params(**{"extension": "png"} | params).checked(), 1)
 
 
 @pytest.mark.parametrize("params", [
@@ -43,10 +43,11 @@ def test_boxes_hold_the_masks_ink(params):
         assert all(a - 4 <= i for a, i in zip(box[:2], ink[:2])) and all(i <= a + 4 for a, i in zip(box[2:], ink[2:]))
 
 
-@pytest.mark.parametrize("params", [{"orientation": 3}, {"is_handwritten": True}, {"is_handwritten": True, "orientation": 1}, {"extension": "jpg"}, {"image_mode": "CMYK"}, {"distorsion_type": 3, "distorsion_orientation": 2}])
+@pytest.mark.parametrize("params", [{"orientation": 3}, {"is_handwritten": True}, {"is_handwritten": True, "orientation": 1}, {"extension": "gif"}, {"extension": "jpg", "image_mode": "RGBA"}, {"image_mode": "CMYK"}, {"distorsion_type": 3, "distorsion_orientation": 2}])
 def test_what_cannot_be_is_told_before_any_work(params):
     with pytest.raises(ValueError):
         render.Params(**params).checked()
+    assert render.Params().extension == "jpg"
 
 
 def test_kernels():
@@ -72,6 +73,62 @@ def test_kernels():
     assert not raster.too_alike(raster.rgba(flat[:4, :4] * 0), ink, raster.plain_white(4, 4))
 
 
+def opened_by_the_jvm(spark, body):
+    """Pixels [row, column, RGB] as another decoder reads them."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(body)))
+    w, h = image.getWidth(), image.getHeight()
+    if image.getRaster().getNumBands() == 1:  # its colours would be converted from linear grey
+        grey = np.frombuffer(bytes(image.getRaster().getDataBuffer().getData()), np.uint8).reshape(h, w, 1)
+        return np.repeat(grey, 3, axis=2).astype(int)
+    values = np.array(list(image.getRGB(0, 0, w, h, None, 0, w)), np.int64).reshape(h, w)
+    return np.stack([values >> 16 & 255, values >> 8 & 255, values & 255], axis=2)
+
+
+@pytest.mark.parametrize("height,width", [(8, 8), (32, 101), (65, 7), (1, 1)])
+def test_jpeg_is_read_by_another_decoder(spark, height, width):
+    draw = np.random.default_rng(height)
+    smooth = raster.resize(draw.integers(0, 256, (3, 3, 3), dtype=np.uint8), width, height)
+    for image in (smooth, smooth[:, :, :1], draw.integers(0, 256, (height, width, 3), dtype=np.uint8)):
+        for quality in (30, 75, 100):
+            told = opened_by_the_jvm(spark, jpeg.encode(image, quality))
+            assert told.shape == (height, width, 3)
+            error = np.abs(told - np.broadcast_to(image, told.shape).astype(int))
+            if quality == 100:
+                assert error.max() <= 4
+            elif image is smooth and quality == 75:
+                assert error.mean() < 6
+    with pytest.raises(ValueError):
+        jpeg.encode(raster.rgba(smooth))
+
+
+def test_samples_as_jpeg(spark):
+    exact, lossy = drawn(size=64, background_type=1), drawn(size=64, background_type=1, extension="jpg")
+    told = opened_by_the_jvm(spark, lossy["image"])
+    assert lossy["file_name"].endswith(".jpg") and np.abs(told - raster.unpng(exact["image"])).mean() < 3
+    grey = opened_by_the_jvm(spark, drawn(extension="jpeg", image_mode="L")["image"])
+    assert grey.shape[0] == 32
+
+
+def test_pictures_of_any_format_are_backgrounds(spark, tmp_path):
+    red, green = (np.full((40, 300, 3), c, np.uint8) for c in ((200, 10, 10), (10, 200, 10)))
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode(red, 95))
+    (tmp_path / "b.png").write_bytes(raster.png(green))
+    (tmp_path / "c.txt").write_text("no picture")
+    pictures = render.load_pictures(spark, str(tmp_path))
+    assert [p.shape for p in pictures] == [(40, 300, 4)] * 2 and np.abs(pictures[0][:, :, :3].astype(int) - red).max() < 6 and (pictures[1][:, :, :3] == green).all()
+    rows = spark.createDataFrame([(k, "text") for k in range(8)], "idx bigint, text string")
+    out = render.rendered(rows, render.Params(background_type=3, image_dir=str(tmp_path), extension="png"), 1).collect()
+    corners = {tuple(raster.unpng(bytes(r["image"]))[0, 0] > 100) for r in out}
+    assert len(out) == 8 and corners == {(True, False, False), (False, True, False)}
+    monkey, render.PICTURE_BYTES = render.PICTURE_BYTES, 10
+    try:
+        with pytest.raises(ValueError):
+            render.load_pictures(spark, str(tmp_path))
+    finally:
+        render.PICTURE_BYTES = monkey
+
+
 @needs_font
 def test_truetype():
     font = truetype.opened(FONT)
@@ -106,7 +163,7 @@ def test_iterators(spark):
 def test_command_line(spark, tmp_path):
     source, out = tmp_path / "in.txt", tmp_path / "out"
     source.write_text("one line \n\nTHREE\nfour\n")
-    cli.main([str(out), "-i", str(source), "-c", "3", "-na", "2", "-om", "1", "-obb", "1", "-oc", "-ca", "upper", "-b", "1"], spark)
+    cli.main([str(out), "-i", str(source), "-c", "3", "-na", "2", "-om", "1", "-obb", "1", "-oc", "-ca", "upper", "-b", "1", "-e", "png"], spark)
     names = sorted(os.listdir(out / "base/0000"))
     assert [n for n in names if n.endswith(".png") and "mask" not in n] == ["0.png", "2.png"]
     meta = json.loads((out / "base/0000/0_metadata.json").read_text())
@@ -114,10 +171,10 @@ def test_command_line(spark, tmp_path):
     train = json.loads((out / "coco-output/annotations/train.json").read_text())
     assert train["images"][0]["file_name"].startswith("base/0000/") and train["annotations"][0]["id"] == 1
     before = os.stat(out / "base/0000/0.png").st_mtime_ns
-    cli.main([str(out), "-i", str(source), "-na", "2", "-b", "1"], spark)
+    cli.main([str(out), "-i", str(source), "-na", "2", "-b", "1", "-e", "png"], spark)
     assert os.path.exists(out / "base/0000/3.png") and os.stat(out / "base/0000/0.png").st_mtime_ns == before
     cli.main([str(tmp_path / "r"), *"-rs -num -c 4 -w 2".split()], spark)
-    assert len([n for n in os.listdir(tmp_path / "r/base/0000") if n.endswith(".png")]) == 4
+    assert len([n for n in os.listdir(tmp_path / "r/base/0000") if n.endswith(".jpg")]) == 4
     with pytest.raises(SystemExit):
         cli.main([str(out), "-i", "/no/such/file"], spark)
     assert len(cli.FLAGS) + 1 == 44
