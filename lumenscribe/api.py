@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenscribe.functions import arabic
 from lumenscribe.operators import generators, raster, render
 from lumenscribe.operators.frontend import cycled, numbered
 from lumenscribe.sources import text as text_sources
@@ -60,29 +61,32 @@ class _Samples:
 
 
 class FromStrings(_Samples):
-    """The strings in turn; rtl lays their words out from the right, the label is as given."""
+    """The strings in turn; rtl joins Arabic letters and puts them in visual order, the label is as given.
 
-    def __init__(self, spark, strings: list[str], count: int = -1, rtl: bool = False, **more):
+    reshape is a Column function for rtl text, if another way of shaping is wanted;
+    language "ku" drops vowel marks.
+    """
+
+    def __init__(self, spark, strings: list[str], count: int = -1, rtl: bool = False, *, language: str = "ar", reshape=None, **more):
         super().__init__(spark, count, **more)
         if not strings:
             raise ValueError("no strings")
         self.items, self.rtl = spark.createDataFrame(list(enumerate(strings)), "pos bigint, text string"), rtl
+        self.reshape = reshape or (lambda text: arabic.displayed(arabic.shaped(text, language == "ku")))
 
     def texts(self, requests):
         out = generators.from_strings(requests, self.items)
         if not self.rtl:
             return out
-        from lumenscribe.functions.strings import reverse_words
-
-        return out.withColumn("label", F.col("text")).withColumn("text", reverse_words(F.col("text")))
+        return out.withColumn("label", F.col("text")).withColumn("text", self.reshape(F.col("text")))
 
 
 class FromDict(_Samples):
-    """Words of a dictionary file or list, drawn with replacement."""
+    """Words of a dictionary file or list, or of the library's dictionary of a language, drawn with replacement."""
 
-    def __init__(self, spark, count: int = -1, *, path: str = "", words: list[str] | None = None, length: int = 1, allow_variable: bool = False, **more):
+    def __init__(self, spark, count: int = -1, *, path: str = "", words: list[str] | None = None, language: str = "en", length: int = 1, allow_variable: bool = False, **more):
         super().__init__(spark, count, **more)
-        self.words = spark.createDataFrame(list(enumerate(words)), "pos bigint, word string") if words else text_sources.dictionary(spark, path)
+        self.words = spark.createDataFrame(list(enumerate(words)), "pos bigint, word string") if words else text_sources.dictionary(spark, path) if path else text_sources.language_words(spark, language)
         self.length, self.variable = length, allow_variable
 
     def texts(self, requests):

@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscribe.functions import strings
+from lumenscribe.functions import arabic, strings
 from lumenscribe.functions.naming import parse_margins
 from lumenscribe.operators import coco, frontend, generators, render
 from lumenscribe.sources import text as text_sources
@@ -43,7 +43,9 @@ def parser() -> argparse.ArgumentParser:
         how = {"action": "store_true"} if kind is None else {"type": kind, "default": default}
         out.add_argument(f"-{short}", f"--{name}", help=about, **how)
     out.add_argument("--seed", type=int, default=0, help="of all draws")
-    out.add_argument("--latin_font", default="", help="a font for what the chosen one lacks")
+    out.add_argument("--latin_font", default="", help="a font for what the chosen one lacks, or a folder to draw one from")
+    out.add_argument("--dict_dir", default="", help="a folder of <language>.txt, instead of the library's own")
+    out.add_argument("--font_root", default="", help="a folder of font folders <language> and latin")
     return out
 
 
@@ -57,17 +59,16 @@ def texts(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         out = frontend.numbered(found, "article", "pos").select("idx", "text")
     elif a.input_file:
         out = text_sources.file_lines(spark, a.input_file).select(F.col("pos").alias("idx"), strings.strip(F.col("text")).alias("text"))
-    elif a.dict:
-        words = frontend.distinct_first(text_sources.dictionary(spark, a.dict), "word", "pos")
-        out = frontend.numbered(words, "pos").select("idx", F.col("word").alias("text"))
     else:
-        raise SystemExit("give an input file, a dictionary, or ask for random text")
+        found = text_sources.dictionary(spark, a.dict) if a.dict else text_sources.language_words(spark, a.language, a.dict_dir)
+        words = frontend.distinct_first(found, "word", "pos")
+        out = frontend.numbered(words, "pos").select("idx", F.col("word").alias("text"))
     return out.where(F.col("idx") < a.count) if a.count else out
 
 
 def params(a: argparse.Namespace) -> render.Params:
     given = vars(a)
-    return render.Params(**{k: given[RENAMED.get(k, k)] for k in render.PARAMS}).checked()
+    return render.Params(**{k: given[RENAMED.get(k, k)] for k in render.PARAMS if RENAMED.get(k, k) in given}).checked()
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -80,8 +81,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     base = os.path.join(a.output_dir, "base")
     os.makedirs(base, exist_ok=True)
     asked = texts(spark, a)
-    asked = asked.withColumn("text", strings.change_case(strings.reverse_words(F.col("text")) if a.language == "ar" else F.col("text"), a.case))
-    fonts = text_sources.fonts(spark, a.font_dir, True) if a.font_dir else spark.createDataFrame([(0, a.font)], "pos bigint, font string") if a.font else None
+    asked = asked.withColumn("text", strings.change_case(arabic.by_word(F.col("text")) if a.language == "ar" else F.col("text"), a.case))
+    folder = a.font_dir or (text_sources.font_folder(spark, a.font_root, a.language) if a.font_root and not a.font else "")
+    fonts = text_sources.fonts(spark, folder, True) if folder else spark.createDataFrame([(0, a.font)], "pos bigint, font string") if a.font else None
     if fonts is not None:
         asked = frontend.routed(asked, fonts, a.seed).withColumn("font", F.regexp_replace("font", "^file:/+", "/"))
     # what is there already is not drawn again; only names that are numbers can be told beforehand

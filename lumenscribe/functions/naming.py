@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,18 @@ def safe_name(name: Column, compose: bool = False) -> Column:
     return F.substring(F.regexp_replace(_composed(name) if compose else name, FORBIDDEN, ""), 1, 200)
 
 
+@F.arrow_udf(T.StringType())
+def _ascii(text: pa.Array) -> pa.Array:
+    fold = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+    return pa.array([None if t is None else fold(t) for t in text.to_pylist()], pa.string())
+
+
+def ascii_name(name: Column) -> Column:
+    """Letters without their marks, digits, spaces, underscores and hyphens; 200 characters at most."""
+    plain = F.when(name.rlike(r"[^\x00-\x7f]"), _ascii(name)).otherwise(name)
+    return F.substring(F.regexp_replace(plain, r"[^A-Za-z0-9_\s\x0b\x1c-\x1f-]", ""), 1, 200)
+
+
 def sample_name(text: Column, idx: Column, name_format: int, space_width: float = 1.0) -> Column:
     """text_index, index_text (1) or index (2); without spaces if they have no width."""
     text = F.replace(text, F.lit(" "), F.lit("")) if space_width == 0 else text

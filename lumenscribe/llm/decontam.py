@@ -81,14 +81,16 @@ def seed_rule(n: int) -> tuple[int, int]:
     return next((q, n - q + 1 - k * q) for q in (3, 2, 1) if n >= q and n - q + 1 - k * q >= 1)
 
 
-@lru_cache(maxsize=None)
-def places(walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two sampled steps of each of the walk's keys."""
+def _places(walk: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng([7, walk])
     pairs = np.sort(np.stack([draw.choice(STEPS, 2, replace=False) for _ in range(KEYS)]), axis=1)
     return pairs[:, 0], pairs[:, 1]
 
 
+#: The two sampled steps of each key of each walk.
+PLACES = [_places(walk) for walk in range(MAX_WALKS)]
+
+
 def cgk_keys(hashes: np.ndarray, start: np.ndarray, room: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys [key, window] of the walks that begin at start, and which stay within room words.
 
@@ -100,7 +102,7 @@ def cgk_keys(hashes: np.ndarray, start: np.ndarray, room: np.ndarray, walk: int)
         outputs[step] = hashes[at]
         stood[step] = at - start
         at = at + ((coins[at] >> U(step)) & U(1)).astype(np.int64)
-    a, b = places(walk)
+    a, b = PLACES[walk]
     name = (np.arange(KEYS, dtype=U) + U(walk * KEYS + 1))[:, None]
     return mix(outputs[a] * U(0xD1342543DE82EF95) + mix(outputs[b] + name)), stood[b] < room
 

@@ -10,6 +10,7 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -161,8 +162,10 @@ def turn_boxes(boxes: np.ndarray, angle: float, width: int, height: int) -> np.n
     return np.stack([tx.min(1), ty.min(1), tx.max(1), ty.max(1)], axis=1)
 
 
-def offsets(kind: str, n: int, reach: int, seed: int = 0, key: object = None, axis: str = "down") -> np.ndarray:
-    """geometry.wave_offset of places 0 .. n-1."""
+def offsets(kind: str | Callable[[int], float], n: int, reach: int, seed: int = 0, key: object = None, axis: str = "down") -> np.ndarray:
+    """geometry.wave_offset of places 0 .. n-1, or a function's values, within the reach."""
+    if callable(kind):
+        return np.clip(np.trunc([kind(at) for at in range(n)]), -reach, reach).astype(int)
     if kind == "jitter":
         return np.array([plain_u32(seed, f"jitter-{axis}", f"{key}.{at}") % (reach + 1) for at in range(n)], int)
     return np.trunc(np.round({"sin": np.sin, "cos": np.cos}[kind](np.radians(np.arange(n))) * reach, 9)).astype(int)

@@ -8,9 +8,10 @@ the same in any partitioning.
 from __future__ import annotations
 
 import math
+import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscribe.functions import naming
+from lumenscribe.functions.naming import BUCKET_SIZE, FORBIDDEN, parse_colors
 from lumenscribe.functions.draws import plain_between
 from lumenscribe.functions.glyphs import FIELD_OF_ROLE, FIELDS, SARA_AM_NAME, role_rules
 from lumenscribe.operators import jpeg, raster
@@ -63,6 +64,9 @@ class Params:
     output_bboxes: int = 0
     output_coco: bool = False
     latin_font: str = ""
+    #: A shift of each column and row, instead of distorsion_type's, of offset_reach pixels at most either way.
+    offset: Callable[[int], float] | None = None
+    offset_reach: int = 0
 
     def checked(self) -> Params:
         """Itself, or an error before any row is read."""
@@ -78,7 +82,7 @@ class Params:
             raise ValueError("a curve is 5 pixels high at least")
         if self.image_mode not in (*raster.MODES, "1"):
             raise ValueError(f"no such image mode: {self.image_mode}")
-        naming.parse_colors(self.text_color), naming.parse_colors(self.stroke_fill)
+        parse_colors(self.text_color), parse_colors(self.stroke_fill)
         return self
 
 
@@ -302,7 +306,7 @@ def sample(idx: int, text: str, face, p: Params, seed: int, latin=None, pictures
     pick = lambda tag: raster.draw(seed, idx, tag)
     # what Column expressions draw too is drawn as they do: naming.pick_color, the skew, geometry's waves
     among = lambda tag, low, high: plain_between(seed, tag, idx, low, high)
-    color = lambda text, tag: tuple(among(f"{tag}-{c}", min(a, b), max(a, b)) for c, a, b in zip("rgb", *naming.parse_colors(text)))
+    color = lambda text, tag: tuple(among(f"{tag}-{c}", min(a, b), max(a, b)) for c, a, b in zip("rgb", *parse_colors(text)))
     fill, stroke = color(p.text_color, "fill"), color(p.stroke_fill, "stroke")
     image, mask, found = horizontal(text, face, p, fill, stroke, latin) if p.orientation == 0 else vertical(text, face, p, fill, stroke)
     keys = [(k, f) for k, (_, _, place) in enumerate(found) for f in place]
@@ -316,10 +320,10 @@ def sample(idx: int, text: str, face, p: Params, seed: int, latin=None, pictures
         amplitude = among("curve", 5, p.distorsion_orientation or 20)
         boxes = raster.curve_boxes(boxes, amplitude, image.shape[1])
         image, mask = raster.curve(image, amplitude), raster.curve(mask, amplitude)
-    elif p.distorsion_type and p.distorsion_orientation in (0, 1, 2):
-        kind = {1: "sin", 2: "cos"}.get(p.distorsion_type, "jitter")
+    elif (p.distorsion_type or p.offset) and p.distorsion_orientation in (0, 1, 2):
+        kind = p.offset or {1: "sin", 2: "cos"}.get(p.distorsion_type, "jitter")
         h, w = image.shape[:2]
-        reach = raster.reach_of(kind, h)
+        reach = p.offset_reach if p.offset else raster.reach_of(kind, h)
         down = raster.offsets(kind, w, reach, seed, idx, "down") if p.distorsion_orientation in (0, 2) else None
         right = raster.offsets(kind, h + 2 * reach if down is not None else h, reach, seed, idx, "right") if p.distorsion_orientation in (1, 2) else None
         boxes = raster.wave_boxes(boxes, reach, down, right)
@@ -368,9 +372,9 @@ def sample(idx: int, text: str, face, p: Params, seed: int, latin=None, pictures
         positions[k][f"{f}_bbox" if f else "bbox"] = b
     name = text.replace(" ", "") if p.space_width == 0 else text
     name = {1: f"{idx}_{name}", 2: str(idx)}.get(p.name_format, f"{name}_{idx}")
-    name = re.sub(naming.FORBIDDEN, "", unicodedata.normalize("NFC", name))[:200]
+    name = re.sub(FORBIDDEN, "", unicodedata.normalize("NFC", name))[:200]
     return {
-        "idx": idx, "text": text, "file_name": f"{name}.{p.extension}", "bucket": f"{idx // naming.BUCKET_SIZE:04d}", "width": width, "height": height,
+        "idx": idx, "text": text, "file_name": f"{name}.{p.extension}", "bucket": f"{idx // BUCKET_SIZE:04d}", "width": width, "height": height,
         "image": (raster.png if p.extension == "png" else jpeg.encode)(raster.blur(raster.converted(canvas, p.image_mode), radius)),
         "mask": raster.png(raster.blur(raster.converted(marks, p.image_mode), radius)) if p.output_mask else None,
         "boxes": listed, "char_positions": positions, "text_offset": [x, top],
@@ -408,7 +412,7 @@ def rendered(requests: DataFrame, params: Params, seed: int, rows_per_task: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         faces: dict = {None: GridFace()}
-        latin = FontFace(params.latin_font) if params.latin_font else None
+        latins = [FontFace(path) for path in latin_fonts(params.latin_font)]
         pictures = shared.value if shared else []
         names = "idx text font file_name bucket width height image mask boxes char_positions text_offset".split()
         for pdf in batches:
@@ -418,6 +422,7 @@ def rendered(requests: DataFrame, params: Params, seed: int, rows_per_task: int
                     continue
                 if font not in faces:
                     faces[font] = FontFace(font)
+                latin = latins[plain_between(seed, "latin", idx, 0, len(latins) - 1)] if latins else None
                 if row := sample(int(idx), text, faces[font], params, seed, latin, pictures):
                     out.append(row | {"font": font})
                 if len(out) >= 256:
@@ -430,6 +435,13 @@ def rendered(requests: DataFrame, params: Params, seed: int, rows_per_task: int
     return narrow.repartition(max(1, -(-narrow.count() // rows_per_task)), "idx").mapInPandas(run, SCHEMA)
 
 
+def latin_fonts(path: str) -> list[str]:
+    """The font itself, or those of a folder by name, of which every sample draws one."""
+    if not os.path.isdir(path):
+        return [path] if path else []
+    return sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith((".ttf", ".otf")))
+
+
 #: Bytes of the background pictures that go to every task.
 PICTURE_BYTES = 256 << 20
 

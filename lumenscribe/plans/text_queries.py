@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscribe.functions import glyphs, naming, strings, thai
+from lumenscribe.functions import arabic, glyphs, naming, strings, thai
 from lumenscribe.functions.draws import sql_u32
 from lumenscribe.operators import frontend, generators, layout
 from lumenscribe.session import table
@@ -284,3 +284,52 @@ select c_custkey as idx, {", ".join(f"({sql_u32(SEED, repr(f'color-{c}'), 'c_cus
 def color_pick(spark, sf_dir):
     """A text colour between two for each request."""
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), naming.pick_color(SEED, F.col("c_custkey"), "#1020ff,#fa4000").alias("c")).select("idx", "c.*")
+
+
+# Names of parts spelt in Arabic letters, with marks and lam-alefs among them.
+_LATIN, _ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتد\u064eفگهيجكلمنوپقرسطءثشخىز"
+_LETTERS = ", ".join("({})".format(", ".join([quoted(k), *(quoted(f[x]) if x in f else "null" for x in ("isolated", "final", "initial", "medial"))])) for k, f in arabic.FORMS.items() if len(k) == 1)
+_LIGATURES = ", ".join(f"({quoted(k[1])}, {quoted(f['isolated'])}, {quoted(f['final'])})" for k, f in arabic.FORMS.items() if len(k) == 2)
+
+
+@query(f"""
+with texts as (select p_partkey, translate(lower(p_name), '{_LATIN}', '{_ARABIC}') as s from part),
+chars as (select p_partkey, i, substr(s, i, 1) as c from (select *, unnest(range(1, length(s) + 1)) as i from texts)),
+base as (select *, lag(c) over w as p, lead(c) over w as n from chars where c <> chr(1614) window w as (partition by p_partkey order by i)),
+forms(letter, iso, fin, ini, med) as (values {_LETTERS}), ligatures(alef, liso, lfin) as (values {_LIGATURES}),
+met as (
+  select b.*, f.iso, f.fin, f.ini, f.med, g.ini is not null as joined, h.fin is not null as reached, l.liso, l.lfin, k.alef is not null as swallowed
+  from base b left join forms f on f.letter = b.c left join forms g on g.letter = b.p left join forms h on h.letter = b.n
+  left join ligatures l on b.c = 'ل' and l.alef = b.n left join ligatures k on b.p = 'ل' and k.alef = b.c),
+glyphs as (
+  select p_partkey, i, case when swallowed then '' when liso is not null then case when joined then lfin else liso end
+    when ini is not null and reached and joined and fin is not null then med when ini is not null and reached then ini when joined and fin is not null then fin else coalesce(iso, c) end as g from met
+  union all select p_partkey, i, c from chars where c = chr(1614))
+select p_partkey, string_agg(g, '' order by i) as shaped from glyphs group by p_partkey
+""")
+def arabic_shaped(spark, sf_dir):
+    """Letters joined as their neighbours ask for."""
+    text = F.translate(F.lower("p_name"), _LATIN, _ARABIC)
+    return table(spark, sf_dir, "part").select("p_partkey", arabic.shaped(text).alias("shaped"))
+
+
+_NAMED = "doc_id, coalesce(substr(text, 1, 60), '') as t from documents"
+
+
+@query(f"""
+select doc_id, substr(regexp_replace(regexp_replace(strip_accents(t), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\\s\x0b\x1c-\x1f-]', '', 'g'), 1, 200) as name from (select {_NAMED})
+""")
+def ascii_names(spark, sf_dir):
+    """Names without marks, of what every document begins with."""
+    text = F.coalesce(F.substring("text", 1, 60), F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", naming.ascii_name(text).alias("name"))
+
+
+@query(f"""
+select doc_id, substr(regexp_replace(nfc_normalize(replace(replace(t, 'é', 'e' || chr(769)), 'ç', 'c' || chr(807))), '{naming.FORBIDDEN}', '', 'g'), 1, 200) as name from (select {_NAMED})
+""")
+def composed_names(spark, sf_dir):
+    """Names whose letters and marks, given apart, are brought together."""
+    text = F.coalesce(F.substring("text", 1, 60), F.lit(""))
+    apart = F.replace(F.replace(text, F.lit("é"), F.lit("e\u0301")), F.lit("ç"), F.lit("c\u0327"))
+    return table(spark, sf_dir, "documents").select("doc_id", naming.safe_name(apart, True).alias("name"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,28 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return numbered(words, "i", "j", name="pos").select("pos", "word")
 
 
+#: The dictionaries that come with the library, a file for each language.
+DICTS = Path(__file__).resolve().parents[1] / "dicts"
+
+
+def language_words(spark: SparkSession, lang: str, folder: str = "") -> DataFrame:
+    """pos, word: the dictionary <lang>.txt of a folder, or of the library's own, which the driver reads: executors needn't have it."""
+    if folder:
+        return dictionary(spark, f"{folder.rstrip('/')}/{lang}.txt")
+    path = DICTS / f"{lang}.txt"
+    if not path.is_file():
+        raise ValueError(f"no dictionary for {lang}: there are {', '.join(sorted(p.stem for p in DICTS.glob('*.txt')))}")
+    words = [w for w in path.read_text(encoding="utf-8").splitlines() if w]
+    return spark.createDataFrame(list(enumerate(words)), "pos bigint, word string")
+
+
+def font_folder(spark: SparkSession, root: str, lang: str) -> str:
+    """root/<lang>, or root/latin if there is none."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{lang}")
+    there = home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home)
+    return f"{root.rstrip('/')}/{lang if there else 'latin'}"
+
+
 def string_file(spark: SparkSession, path: str) -> DataFrame:
     """pos, text: lines that are not empty, of 200 characters at most; an empty file is an error."""
     lines = file_lines(spark, path).where(F.char_length("text") > 0)

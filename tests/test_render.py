@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenscribe import api, cli
 from lumenscribe.operators import jpeg, raster, render
 from lumenscribe.sources import truetype
-from lumenscribe.streaming import micro_batch
+from lumenscribe.streaming import micro_batch, table_function
 
 FONT = "/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf"
 needs_font = pytest.mark.skipif(not os.path.exists(FONT), reason="no such font here")
@@ -189,3 +189,33 @@ def test_stream(spark, tmp_path):
         query.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).select("text", F.length("image").alias("n")).collect()
     assert sorted(r["text"] for r in rows) == ["alpha", "beta"] and all(r["n"] > 100 for r in rows)
+
+
+def test_a_function_distorts(spark):
+    plain = drawn(size=64, background_type=1, offset=lambda at: 0, offset_reach=3)
+    bent = drawn(size=64, background_type=1, offset=lambda at: at % 7 - 3, offset_reach=3)
+    assert plain["width"] and plain["image"] != bent["image"]
+    rows = spark.createDataFrame([(3, "TEST TEST")], "idx bigint, text string")
+    params = render.Params(size=64, background_type=1, extension="png", offset=lambda at: at % 7 - 3, offset_reach=3)
+    assert bytes(render.rendered(rows, params, 1).first()["image"]) == bent["image"]
+
+
+def test_table_function(spark):
+    table_function.register(spark)
+    rows = spark.sql("select * from draw_samples('TEST TEST', 3, 2, '{\"extension\": \"png\"}', 1)").collect()
+    assert [r["idx"] for r in rows] == [3, 4] and bytes(rows[0]["image"]) == drawn()["image"]
+    assert spark.sql("select * from draw_samples(null, 3, 2)").count() == 0
+
+
+def test_fallback_fonts_are_drawn_from_a_folder(tmp_path):
+    for name in ("b.ttf", "a.otf", "c.txt"):
+        (tmp_path / name).write_text("")
+    assert [os.path.basename(f) for f in render.latin_fonts(str(tmp_path))] == ["a.otf", "b.ttf"]
+    assert render.latin_fonts("") == [] and render.latin_fonts("/some/font.ttf") == ["/some/font.ttf"]
+
+
+def test_a_language_alone_draws_its_dictionary(spark, tmp_path):
+    cli.main([str(tmp_path / "o"), *"-l de -c 3 -na 2 -b 1".split()], spark)
+    assert sorted(os.listdir(tmp_path / "o/base/0000")) == ["0.jpg", "1.jpg", "2.jpg"]
+    with pytest.raises(ValueError):
+        cli.main([str(tmp_path / "o"), *"-l xx -c 3".split()], spark)

@@ -1,11 +1,12 @@
 import random
 import re
 import string
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenscribe.functions import glyphs, naming, strings, thai
+from lumenscribe.functions import arabic, glyphs, naming, strings, thai
 from lumenscribe.operators import frontend, generators, layout
 from lumenscribe.sources import text as sources
 
@@ -103,3 +104,40 @@ def test_segments_cover_the_text(spark):
     runs = one(spark, layout.support_segments(F.col("text"), "a-z"), text)
     assert "".join(r["segment"] for r in runs) == text
     assert [r["supported"] for r in runs] == [True, False, True, False, True]
+
+
+def test_arabic_letters_take_the_forms_of_their_place():
+    forms = lambda text, **how: [unicodedata.name(c).rsplit(" ", 2)[-2] for c in arabic.shape(text, **how) if c != " "]
+    assert forms("ببب ب") == ["INITIAL", "MEDIAL", "FINAL", "ISOLATED"]
+    assert forms("باب") == ["INITIAL", "FINAL", "ISOLATED"]
+    assert arabic.shape("سلام") == "\ufeb3\ufefc\ufee1" and arabic.shape("لا") == "\ufefb"
+    assert arabic.shape("ب\u064eب") == "\ufe91\u064e\ufe90" and arabic.shape("ب\u064eب", delete_harakat=True) == "\ufe91\ufe90"
+    assert arabic.shape("abc 12") == "abc 12" and arabic.shape("") == ""
+    assert forms("گچ") == ["INITIAL", "FINAL"]
+
+
+def test_visual_order():
+    assert arabic.display("abc") == "abc" and arabic.display("") == "" and arabic.display("12 (3)") == "12 (3)"
+    assert arabic.display("אבג 12 דה") == "הד 12 גבא"
+    assert arabic.display("אב (ג)") == "(ג) בא"
+    assert arabic.display("see אב גד now") == "see דג בא now"
+    assert arabic.display("אב see now גד") == "דג see now בא"
+
+
+def test_arabic_columns(spark):
+    df = spark.createDataFrame([("سلام لا",), ("plain text",), (None,), ("",)], "t string")
+    got = [tuple(r) for r in df.select(arabic.displayed(arabic.shaped(F.col("t"))), arabic.by_word(F.col("t"))).collect()]
+    both = arabic.display(arabic.shape("سلام لا"))
+    assert got == [(both, " ".join(arabic.display(arabic.shape(w)) for w in ("لا", "سلام"))), ("plain text", "text plain"), (None, None), ("", "")]
+
+
+def test_dictionaries_of_languages_and_font_folders(spark, tmp_path):
+    words = [r["word"] for r in sources.language_words(spark, "fr").orderBy("pos").collect()]
+    assert len(words) == len(set(words)) > 50 and words[0] == "le"
+    with pytest.raises(ValueError):
+        sources.language_words(spark, "xx")
+    (tmp_path / "xx.txt").write_text("one\ntwo\n")
+    assert sources.language_words(spark, "xx", str(tmp_path)).count() == 2
+    (tmp_path / "th").mkdir()
+    (tmp_path / "latin").mkdir()
+    assert sources.font_folder(spark, str(tmp_path), "th").endswith("/th") and sources.font_folder(spark, str(tmp_path), "en").endswith("/latin")
