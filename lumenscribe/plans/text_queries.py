@@ -313,15 +313,15 @@ def arabic_shaped(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", arabic.shaped(text).alias("shaped"))
 
 
-_NAMED = "doc_id, coalesce(substr(text, 1, 60), '') as t from documents"
+_NAMED = "doc_id, coalesce(text, '') as t from documents"
 
 
 @query(f"""
 select doc_id, substr(regexp_replace(regexp_replace(strip_accents(t), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\\s\x0b\x1c-\x1f-]', '', 'g'), 1, 200) as name from (select {_NAMED})
 """)
 def ascii_names(spark, sf_dir):
-    """Names without marks, of what every document begins with."""
-    text = F.coalesce(F.substring("text", 1, 60), F.lit(""))
+    """Names without marks, of every document."""
+    text = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", naming.ascii_name(text).alias("name"))
 
 
@@ -330,6 +330,6 @@ select doc_id, substr(regexp_replace(nfc_normalize(replace(replace(t, 'é', 'e'
 """)
 def composed_names(spark, sf_dir):
     """Names whose letters and marks, given apart, are brought together."""
-    text = F.coalesce(F.substring("text", 1, 60), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     apart = F.replace(F.replace(text, F.lit("é"), F.lit("e\u0301")), F.lit("ç"), F.lit("c\u0327"))
     return table(spark, sf_dir, "documents").select("doc_id", naming.safe_name(apart, True).alias("name"))
