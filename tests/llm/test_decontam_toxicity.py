@@ -1,9 +1,12 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenscribe.llm import decontam, toxicity
@@ -238,6 +241,44 @@ def test_training_takes_present_documents_only(spark, labelled):
     assert sample["toxic"].sum() == 10 and len(sample) == 25 and set(sample["k"]) <= set(range(60))
 
 
+def test_toxicity_learns_from_documents_beyond_the_first_ones(spark):
+    draw, by_hash = random.Random(8), lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:12], 16)
+    rows = [[k, prose(draw, draw.randrange(30, 90)), int(k % 3 == 0)] for k in range(1800)]
+    toxic = sorted((r for r in rows if r[2]), key=lambda r: by_hash(r[0]))
+    for n, r in enumerate(toxic):  # only the later ones have the second kind of words
+        words = r[1].split()
+        for at in draw.sample(range(len(words)), 4):
+            words[at] = ("vile" if n < 60 else "gruesome") + draw.choice("abcdefgh")
+        r[1] = " ".join(words)
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id bigint, text string, toxic int")
+    bounds = {"max_toxic": 45, "max_clean": 60}
+    net, limit = toxicity.train(docs, docs, **bounds)
+
+    # counts are those of all documents that train, a word of three or more
+    learn = [r for r in rows if by_hash(r[0]) % toxicity.HELD_OUT]
+    have, bad = Counter(w for r in learn for w in set(r[1].split())), Counter(w for r in learn for w in set(r[1].split()) if r[2])
+    known = toxicity.labelled(docs, docs).where(f"__h % {toxicity.HELD_OUT} <> 0")
+    counts = toxicity.word_counts(known, len(learn), sum(r[2] for r in learn))
+    words = sorted((int(Texts(pa.array([w])).words(0, 1).hashes[0]), n, bad[w]) for w, n in have.items() if n >= 3)
+    assert words == list(zip(counts.words.tolist(), counts.docs.tolist(), counts.toxic.tolist()))
+    assert (net.vocabulary == counts.words).all()
+
+    # the threshold is that of all held-out documents
+    held = [r for r in rows if by_hash(r[0]) % toxicity.HELD_OUT == 0]
+    texts, label = Texts(pa.array([r[1] for r in held])), np.array([r[2] for r in held])
+    logit, _, _, doc, _ = net.score_documents(texts, 0, len(texts))
+    score = toxicity.worst(logit, doc, len(texts))
+    best = toxicity.threshold(score, label)
+    assert abs(limit - best) < 2 / toxicity.FINER and ((score > limit) == (score > best)).mean() > 0.99
+
+    found = {r["doc_id"] for r in toxicity._score(docs.select("doc_id", "text"), net, limit).where("toxic").collect()}
+    assert len(found & {r[0] for r in toxic[60:]}) > 0.95 * len(toxic[60:]) and len(found - {r[0] for r in toxic}) < 20
+
+    # neither the order nor the partitions of the rows matter
+    again, same = toxicity.train(docs.orderBy(F.desc("doc_id")).repartition(7), docs.repartition(3), **bounds)
+    assert same == limit and all((again.p[k] == net.p[k]).all() for k in net.p)
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs, labelled):
     docs = spark.createDataFrame(labelled, "doc_id bigint, text string, y int")
     labels = docs.selectExpr("doc_id", "1 as quality", "y as toxic").union(spark.createDataFrame([(None, 1, 1), (5, 1, None), (10**9, 0, 1)], "doc_id bigint, quality int, toxic int"))
