@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenscribe import api, cli
-from lumenscribe.operators import jpeg, raster, render
+from lumenscribe.operators import frontend, jpeg, raster, render
 from lumenscribe.sources import truetype
 from lumenscribe.streaming import micro_batch, table_function
 
@@ -219,3 +219,23 @@ def test_a_language_alone_draws_its_dictionary(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "o/base/0000")) == ["0.jpg", "1.jpg", "2.jpg"]
     with pytest.raises(ValueError):
         cli.main([str(tmp_path / "o"), *"-l xx -c 3".split()], spark)
+
+
+def test_a_glyph_is_drawn_once_and_requests_are_spread(spark, monkeypatch):
+    drawn_shapes, fill, face = [], raster.fill, render.GridFace()
+    monkeypatch.setattr(raster, "fill", lambda *a, **k: drawn_shapes.append(1) or fill(*a, **k))
+    first = render.sample(3, "abcd abcd", face, render.Params(), 1)
+    times = len(drawn_shapes)
+    again = render.sample(3, "abcd abcd", face, render.Params(), 1)
+    assert times <= 6 and len(drawn_shapes) == times and again == first
+    one = frontend.spread(spark.range(1000).coalesce(1), "id", 100)
+    assert one.rdd.getNumPartitions() == 10 and one.count() == 1000
+    assert frontend.spread(spark.range(1000), "id", 1).rdd.getNumPartitions() == 100
+
+
+def test_grey_is_coded_as_colours_are():
+    grey = np.repeat(np.random.default_rng(5).integers(0, 256, (21, 30, 1), dtype=np.uint8), 3, axis=2)
+    image = raster.blur(grey, 1)
+    assert raster.distinct_planes(image)[0] == [0, 0, 0] and (image == np.concatenate([raster.blur(grey[:, :, c : c + 1], 1) for c in range(3)], axis=2)).all()
+    turned = raster.turn(grey, 7, True)
+    assert (turned == np.concatenate([raster.turn(grey[:, :, c : c + 1], 7, True) for c in range(3)], axis=2)).all()
