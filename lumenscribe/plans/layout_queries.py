@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenscribe.functions import geometry, glyphs, naming
 from lumenscribe.functions.draws import sql_u32
-from lumenscribe.operators import coco, layout, masks, raster, render
+from lumenscribe.operators import coco, frontend, layout, masks, raster, render
 from lumenscribe.plans.text_queries import DOC_LINES, SEED, document_lines, quoted
 from lumenscribe.session import table
 
@@ -50,8 +50,13 @@ _PARTS = sql_layout("select p_partkey, p_name as text from part", "p_partkey", 2
 _LINES = sql_layout("select * from lines", "doc_id, line")
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and names over tasks: they are little to read, a file or two, and much is made of each."""
+    return frontend.spread(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text")), "p_partkey")
+
+
 def part_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.laid_out(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text")), "text", SIZE, 2)
+    return layout.laid_out(part_names(spark, sf_dir), "text", SIZE, 2)
 
 
 @query(f"with {_PARTS} select p_partkey, k::int as k, c as char, x, advance, bx1 as x1, by1 as y1, bx2 as x2, by2 as y2, width, height from glyphs")
@@ -225,9 +230,9 @@ boxed as (
 
 
 def _mask_boxes(spark: SparkSession, sf_dir: str, *tess: bool) -> DataFrame:
-    rows = layout.laid_out(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text")), "text", SIZE, 2)
-    # extents by place in the text: a space has none
-    place = F.filter(F.transform(layout.chars(F.col("text")), lambda c, i: F.when(c != " ", i + 1)), lambda k: k.isNotNull())
+    rows = part_layout(spark, sf_dir)
+    # extents by place in the text: a blank has none
+    place = F.filter(F.transform(layout.chars(F.col("text")), lambda c, i: F.when(~F.lit(" \t\n\x0b\f\r").contains(c), i + 1)), lambda k: k.isNotNull())
 
     def extent(k, g):
         code, right = F.ascii(g["char"]), 3 + F.ascii(g["char"]) % 5

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenscribe.functions import geometry
 from lumenscribe.operators import coco, masks, render
+from lumenscribe.plans import layout_queries
 
 PLAIN = "5 22 31 58,36 22 57 58,62 22 85 59,88 22 114 58,115 22 128 59,129 22 155 58,160 22 181 58,186 22 209 59,212 22 238 58"
 EXTENTS = [(1, 6, 23, 30, 57), (2, 37, 23, 56, 57), (3, 63, 23, 84, 58), (4, 89, 23, 113, 57), (6, 130, 23, 154, 57), (7, 161, 23, 180, 57), (8, 187, 23, 208, 58), (9, 213, 23, 237, 57)]
@@ -77,3 +78,21 @@ def test_coco_ids_are_dense_and_splits_exact(spark, tmp_path):
     both = [json.loads((tmp_path / "out/annotations" / f"{s}.json").read_text()) for s in ("train", "val")]
     assert sum(len(d["annotations"]) for d in both) == len(anns) and both[0]["info"]["year"] == 2020
     assert [a["id"] for a in both[0]["annotations"]] == list(range(1, len(both[0]["annotations"]) + 1))
+
+
+def test_boxes_of_many_lists_at_once(spark):
+    """Lists of all kinds in a batch, null extents and null lists too, as the renderer boxes each; a tab in a name is a gap."""
+    draw = random.Random(4)
+    lists = [[(k, k * 9, draw.randrange(60), k * 9 + 7, draw.randrange(64)) for k in range(1, 12) if draw.random() < 0.8] for _ in range(200)]
+    rows = [(i, None if i == 7 else [None] * (i % 5 == 0) + e) for i, e in enumerate(lists)]
+    df = spark.createDataFrame(rows, "i int, e array<struct<k:int,minx:int,miny:int,maxx:int,maxy:int>>").coalesce(1)
+    for tess in (False, True):
+        got = dict(df.select("i", masks.boxes(F.col("e"), F.lit(90), F.lit(64), tess)).collect())
+        assert got[7] is None
+        assert all([tuple(b) for b in got[i]] == [tuple(b) for b in render.mask_boxes(e, 90, 64, tess)] for i, e in enumerate(lists) if i != 7)
+
+
+def test_names_with_tabs(spark, tmp_path):
+    spark.createDataFrame([(1, "a\tb"), (2, "a b")], "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    rows = [tuple(r)[1:] for r in layout_queries.QUERIES["mask_gap_boxes"](spark, str(tmp_path)).orderBy("p_partkey", "k").collect()]
+    assert len(rows) == 6 and rows[:3] == rows[3:]
