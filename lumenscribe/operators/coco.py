@@ -42,10 +42,15 @@ def _annotation(category: int, polygon: Column, order: Column) -> Column:
     return F.struct(order.alias("ord"), F.lit(category).alias("category_id"), polygon.alias("polygon"), box.alias("bbox"), (w.cast("bigint") * h).alias("area"))
 
 
+def _has_area(b: Column) -> Column:
+    return (F.get(b, F.lit(2)) > F.get(b, F.lit(0))) & (F.get(b, F.lit(3)) > F.get(b, F.lit(1)))
+
+
 def annotations_of(boxes: Column, parts: Column) -> Column:
     """The word's annotation, then one for each part with an area; in order, inside the row."""
-    word = F.when(F.size(boxes) > 0, F.array(_annotation(1, word_polygon(boxes), F.lit(0))))
-    drawn = F.filter(parts, lambda b: (F.get(b, F.lit(2)) > F.get(b, F.lit(0))) & (F.get(b, F.lit(3)) > F.get(b, F.lit(1))))
+    # the polygon is a lambda's variable: it is computed once, not for each of its uses
+    word = F.when(F.size(boxes) > 0, F.transform(F.array(word_polygon(boxes)), lambda p: _annotation(1, p, F.lit(0))))
+    drawn = F.filter(parts, _has_area)
     rect = lambda b: rectangle(*(F.get(b, F.lit(k)) for k in range(4)))
     each = F.transform(drawn, lambda b, k: _annotation(2, rect(b), k + 1))
     return F.concat(F.coalesce(word, F.slice(each, 1, 0)), each)
@@ -60,9 +65,13 @@ def split(metadata: DataFrame, seed: int, train_ratio: float = 0.8, key: str = "
 
 def with_annotations(metadata: DataFrame, base: str = "base") -> DataFrame:
     """Metadata (with bucket) and their annotations; rows that have none are left out."""
-    listed = annotations_of(F.col("char_bboxes"), component_boxes(F.col("char_positions")))
+    boxes, parts = F.col("char_bboxes"), component_boxes(F.col("char_positions"))
+    drawn = F.coalesce(F.size(F.filter(parts, _has_area)), F.lit(0))
+    word = F.when(F.size(boxes) > 0, 1).otherwise(0)
     path = F.concat_ws("/", F.lit(base), "bucket", "file_name")
-    return metadata.withColumn("file_name", path).withColumn("anns", listed).where(F.size("anns") > 0)
+    # counted apart, so that a query of images or counts builds no annotations
+    out = metadata.withColumn("file_name", path).withColumn("n_anns", F.when(parts.isNull(), 0).otherwise(word + drawn)).where("n_anns > 0")
+    return out.withColumn("anns", annotations_of(boxes, parts))
 
 
 def images(annotated: DataFrame) -> DataFrame:
@@ -72,19 +81,17 @@ def images(annotated: DataFrame) -> DataFrame:
 def annotations(annotated: DataFrame) -> DataFrame:
     """Annotations with dense ids from 1, train before val, words before their parts.
 
-    Only one row an image is ordered and summed up, in blocks; the ids of an image's
-    annotations follow from its first.
+    Images are summed up in blocks of their order; the ids of an image's annotations
+    follow from its first. The sums of blocks read the counts only.
     """
-    rows = annotated.select("split", "ord", "image_id", "anns", F.size("anns").alias("n"))
-    placed = numbered(rows, "ord", name="__row")
+    rows = annotated.select("split", "ord", "image_id", "anns", F.col("n_anns").alias("n"), F.floor(F.col("ord") / 4096).alias("__block"))
     # the ids before an image: the sums of whole blocks before its own, and of the rows before it there
-    block = F.floor(F.col("__row") / 4096)
-    within = F.sum("n").over(Window.partitionBy("__block").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("__block", block).withColumn("__in", F.coalesce(within, F.lit(0)))
-    sums = placed.groupBy("__block").agg(F.sum("n").alias("s"))
+    within = F.sum("n").over(Window.partitionBy("__block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("__in", F.coalesce(within, F.lit(0)))
+    sums = rows.groupBy("__block").agg(F.sum("n").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("__block").alias("__b"), before.alias("__before"))
-    listed = placed.join(starts, F.col("__block") == F.col("__b")).select("split", "image_id", (F.col("__before") + F.col("__in")).alias("start"), F.posexplode("anns").alias("k", "a"))
+    listed = placed.join(F.broadcast(starts), F.col("__block") == F.col("__b")).select("split", "image_id", (F.col("__before") + F.col("__in")).alias("start"), F.posexplode("anns").alias("k", "a"))  # one row a block
     return listed.select("split", (F.col("start") + F.col("k") + 1).alias("id"), "image_id", "a.category_id", F.array("a.polygon").alias("segmentation"), "a.bbox", "a.area", F.lit(0).alias("iscrowd"))
 
 

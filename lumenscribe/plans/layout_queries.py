@@ -274,7 +274,16 @@ parts as (select p_partkey, k, code % 7 as f, bx1, by1, bx2, by2, width, height
 
 def part_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata documents of all names: a glyph's box goes to one field or another by its code."""
-    rows = part_layout(spark, sf_dir)
+    return _metadata(part_names(spark, sf_dir))
+
+
+def _split_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in train and val: keys and names are shuffled, and laid out where they came to lie."""
+    return _metadata(coco.split(part_names(spark, sf_dir), SEED, key="p_partkey"), "ord", "split")
+
+
+def _metadata(names: DataFrame, *more: str) -> DataFrame:
+    rows = layout.laid_out(names, "text", SIZE, 2)
     array = lambda b: F.array(*(b[k].cast("int") for k in geometry.SIDES))
 
     def position(g):
@@ -282,7 +291,7 @@ def part_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(g["char"].alias("glyph_name"), array(g["box"]).alias("bbox"), *fields)
 
     rows = rows.withColumn("char_positions", F.transform("layout.glyphs", position))
-    return rows.select(F.col("p_partkey").alias("image_id"), naming.bucket(F.col("p_partkey")).alias("bucket"), F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.col("layout.width").cast("int").alias("width"), F.col("layout.height").cast("int").alias("height"), "text", "char_positions", coco.component_boxes(F.col("char_positions")).alias("char_bboxes"))
+    return rows.select(F.col("p_partkey").alias("image_id"), naming.bucket(F.col("p_partkey")).alias("bucket"), F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.col("layout.width").cast("int").alias("width"), F.col("layout.height").cast("int").alias("height"), "text", "char_positions", coco.component_boxes(F.col("char_positions")).alias("char_bboxes"), *more)
 
 
 _SPLIT = f"""
@@ -304,7 +313,7 @@ select split, ord, p_partkey as id, 'base/' || format('{{:04d}}', p_partkey // 5
 from parts join splits using (p_partkey) group by split, ord, p_partkey
 """)
 def coco_images(spark, sf_dir):
-    return coco.images(coco.with_annotations(coco.split(part_metadata(spark, sf_dir), SEED)))
+    return coco.images(coco.with_annotations(_split_metadata(spark, sf_dir)))
 
 
 @query(f"""
@@ -317,7 +326,7 @@ from anns join splits using (p_partkey)
 """)
 def coco_annotations(spark, sf_dir):
     """Words and their parts with dense ids, train first."""
-    return coco.annotations(coco.with_annotations(coco.split(part_metadata(spark, sf_dir), SEED)))
+    return coco.annotations(coco.with_annotations(_split_metadata(spark, sf_dir)))
 
 
 @query(f"""

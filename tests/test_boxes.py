@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenscribe.functions import geometry
-from lumenscribe.operators import coco, masks, render
+from lumenscribe.operators import coco, frontend, masks, render
 from lumenscribe.plans import layout_queries
 
 PLAIN = "5 22 31 58,36 22 57 58,62 22 85 59,88 22 114 58,115 22 128 59,129 22 155 58,160 22 181 58,186 22 209 59,212 22 238 58"
@@ -96,3 +96,13 @@ def test_names_with_tabs(spark, tmp_path):
     spark.createDataFrame([(1, "a\tb"), (2, "a b")], "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     rows = [tuple(r)[1:] for r in layout_queries.QUERIES["mask_gap_boxes"](spark, str(tmp_path)).orderBy("p_partkey", "k").collect()]
     assert len(rows) == 6 and rows[:3] == rows[3:]
+
+
+def test_only_keys_and_names_are_shuffled_into_splits(spark, monkeypatch):
+    seen, split, cut = [], coco.split, frontend.cut
+    monkeypatch.setattr(coco, "split", lambda df, *a, **k: seen.append(df.columns) or split(df, *a, **k))
+    monkeypatch.setattr(frontend, "cut", lambda df: seen.append("cut") or cut(df))
+    images = layout_queries.QUERIES["coco_images"](spark, "/root/testdata/sf0.001")
+    annotations = layout_queries.QUERIES["coco_annotations"](spark, "/root/testdata/sf0.001")
+    assert seen == [["p_partkey", "text"], "cut"] * 2
+    assert "polygon" not in images._jdf.queryExecution().optimizedPlan().toString() and annotations.count() > images.count() > 0
