@@ -453,7 +453,7 @@ def render_distorted(spark, sf_dir):
 @query()
 def background_noise(spark, sf_dir):
     """Mean and spread of the paper-like noise of each customer's background."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"))
+    rows = frontend.spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx")), "idx", 2000)
 
     def run(batches):
         for pdf in batches:

@@ -106,3 +106,8 @@ def test_only_keys_and_names_are_shuffled_into_splits(spark, monkeypatch):
     annotations = layout_queries.QUERIES["coco_annotations"](spark, "/root/testdata/sf0.001")
     assert seen == [["p_partkey", "text"], "cut"] * 2
     assert "polygon" not in images._jdf.queryExecution().optimizedPlan().toString() and annotations.count() > images.count() > 0
+
+
+def test_backgrounds_are_spread_over_tasks(spark, tmp_path):
+    spark.range(4100).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert layout_queries.QUERIES["background_noise"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
