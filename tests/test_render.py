@@ -239,3 +239,13 @@ def test_grey_is_coded_as_colours_are():
     assert raster.distinct_planes(image)[0] == [0, 0, 0] and (image == np.concatenate([raster.blur(grey[:, :, c : c + 1], 1) for c in range(3)], axis=2)).all()
     turned = raster.turn(grey, 7, True)
     assert (turned == np.concatenate([raster.turn(grey[:, :, c : c + 1], 7, True) for c in range(3)], axis=2)).all()
+
+
+def test_quasicrystals_are_the_sum_of_their_waves():
+    for key, (height, width) in enumerate([(32, 120), (1, 9), (9, 1), (64, 33)]):
+        rng = raster.draw(1, key, "q")
+        frequency, phase, turns = rng.random() * 30 + 20, rng.random() * 2 * np.pi, int(rng.integers(10, 21))
+        y, x = (np.linspace(-2 * np.pi, 2 * np.pi, n) if n > 1 else np.zeros(1) for n in (width, height))
+        r, a = np.hypot(x[:, None], y[None, :]), np.arctan2(y[None, :], x[:, None])
+        z = sum(np.cos(r * np.sin(a + k * np.pi * 2 / turns) * frequency + phase) for k in range(turns))
+        assert (raster.quasicrystal(height, width, raster.draw(1, key, "q")) == (255 - np.rint(255 * z / turns)).clip(0, 255)).all()
