@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenscribe.session import slices
+
 INKLESS_HEIGHT = 0.7
 OVERLAP = 0.05
 
@@ -43,6 +45,10 @@ _GLYPH = T.StructType().add("k", T.IntegerType()).add("char", T.StringType()).ad
 _LAYOUT = T.StructType().add("width", _INT).add("height", _INT).add("n_glyphs", T.IntegerType()).add("hull", _SIDES).add("glyphs", T.ArrayType(_GLYPH))
 
 
+#: Bytes of texts that are laid out at once; each takes some hundred in arrays.
+SLICE_BYTES = 256 << 10
+
+
 def _place(texts: pa.Array, metrics, size: int, spacing: int, glyphs: bool) -> pa.Array:
     """Layouts of all texts of a batch at once; a null one is laid out as an empty one."""
     rows = [t or "" for t in texts.to_pylist()]
@@ -92,7 +98,8 @@ def laid_out(df: DataFrame, text: str, size: int, character_spacing: int = 0, me
 
     @F.arrow_udf(_LAYOUT)
     def place(texts: pa.Array) -> pa.Array:
-        return _place(texts, metrics, size, spacing, glyphs)
+        done = [_place(part, metrics, size, spacing, glyphs) for part in slices(texts, SLICE_BYTES)]
+        return pa.concat_arrays(done) if len(done) > 1 else done[0]
 
     return df.withColumn(name, place(F.col(text)))
 
