@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenscribe.functions.draws import between
+from lumenscribe.session import slices
 
 BUCKET_SIZE = 5000
 FORBIDDEN = r'[\x00-\x1f"*/:<>?|\\]'
@@ -18,19 +18,22 @@ DERIVED = {"mask_name": "_mask.png", "boxes_name": "_boxes.txt", "tess_name": ".
 COLORS = {"black": "#000000", "white": "#ffffff", "red": "#ff0000", "lime": "#00ff00", "green": "#008000", "blue": "#0000ff", "yellow": "#ffff00", "gray": "#808080", "grey": "#808080", "orange": "#ffa500", "purple": "#800080", "brown": "#a52a2a", "pink": "#ffc0cb", "cyan": "#00ffff", "magenta": "#ff00ff", "navy": "#000080"}
 
 
-@F.pandas_udf(T.StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    """NFC; Spark has no normalisation of its own."""
-    return text.str.normalize("NFC")
+@F.arrow_udf(T.StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    """NFC; Spark has no normalisation of its own. Texts of a megabyte at a time are objects."""
+    compose = lambda t: None if t is None else unicodedata.normalize("NFC", t)
+    return pa.concat_arrays([pa.array([compose(t) for t in part.to_pylist()], pa.string()) for part in slices(text, 1 << 20)])
 
 
 def safe_name(name: Column, compose: bool = False) -> Column:
     """Without characters that file systems forbid, 200 characters at most.
 
     compose first brings composed characters together; texts that are composed
-    already, as most are, needn't go through Python for that.
+    already, as most are, needn't go through Python for that: ASCII ones don't.
     """
-    return F.substring(F.regexp_replace(_composed(name) if compose else name, FORBIDDEN, ""), 1, 200)
+    if compose:
+        name = F.coalesce(_composed(F.when(name.rlike(r"[^\x00-\x7f]"), name)), name)
+    return F.substring(F.regexp_replace(name, FORBIDDEN, ""), 1, 200)
 
 
 @F.arrow_udf(T.StringType())

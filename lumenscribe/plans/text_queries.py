@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenscribe.functions import arabic, glyphs, naming, strings, thai
 from lumenscribe.functions.draws import sql_u32
 from lumenscribe.operators import frontend, generators, layout
-from lumenscribe.session import table
+from lumenscribe.session import small_batches, table
 
 SEED = 11
 QUERIES: dict = {}
@@ -330,6 +330,7 @@ select doc_id, substr(regexp_replace(nfc_normalize(replace(replace(t, 'é', 'e'
 """)
 def composed_names(spark, sf_dir):
     """Names whose letters and marks, given apart, are brought together."""
+    small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     apart = F.replace(F.replace(text, F.lit("é"), F.lit("e\u0301")), F.lit("ç"), F.lit("c\u0327"))
     return table(spark, sf_dir, "documents").select("doc_id", naming.safe_name(apart, True).alias("name"))
