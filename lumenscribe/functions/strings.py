@@ -13,6 +13,7 @@ from lumenscribe.functions.draws import below, between
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SENTENCE_END = r"\. "
+_SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def lines(text: Column) -> Column:
@@ -31,7 +32,9 @@ def word_count(text: Column) -> Column:
 def sentences(text: Column, more_than: int) -> Column:
     """Stripped sentences of more words than that, in order."""
     parts = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), SENTENCE_END)
-    return F.transform(F.filter(parts, lambda s: word_count(s) > more_than), strip)
+    # no further than the word that makes it enough; possessive, so that a short sentence is read once
+    enough = f"^[{SPACE}]*+" + (f"(?:[^{SPACE}]++[{SPACE}]++){{{more_than}}}" if more_than > 0 else "") + f"[^{SPACE}]"
+    return F.transform(F.filter(parts, lambda s: s.rlike(enough) if more_than >= 0 else s.isNotNull()), lambda s: F.btrim(s, F.lit(_SPACES)))
 
 
 def change_case(text: Column, case: str | None) -> Column:

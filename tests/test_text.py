@@ -141,3 +141,40 @@ def test_dictionaries_of_languages_and_font_folders(spark, tmp_path):
     (tmp_path / "th").mkdir()
     (tmp_path / "latin").mkdir()
     assert sources.font_folder(spark, str(tmp_path), "th").endswith("/th") and sources.font_folder(spark, str(tmp_path), "en").endswith("/latin")
+
+
+def test_batches_are_worked_on_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lumenscribe.functions import naming
+    from lumenscribe.operators import layout
+    from lumenscribe.session import slices
+
+    texts = [None, "", "ab", "é" * 30, "a" * 100, "xyz"] * 40
+    parts = slices(pa.array(texts), 64)
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 40
+    assert [len(p) for p in slices(pa.array([], pa.string()), 64)] == [0]
+    sizes, place = [], layout._place
+    monkeypatch.setattr(layout, "_place", lambda part, *a: sizes.append(len(part)) or place(part, *a))
+    monkeypatch.setattr(layout, "SLICE_BYTES", 64)
+    laid = layout.laid_out.__globals__["_place"](pa.array(texts), layout.grid_metrics, 32, 0, True)
+    split = pa.concat_arrays([place(p, layout.grid_metrics, 32, 0, True) for p in parts])
+    assert laid.to_pylist() == split.to_pylist()
+    df = spark.createDataFrame([(0, "é" * 3), (1, "plain"), (2, None), (3, "")], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(naming.safe_name(df.t, True)).collect()] == ["é" * 3, "plain", None, ""]
+
+
+def test_sentences_of_enough_words(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lumenscribe.functions import strings
+
+    draw = random.Random(2)
+    texts = ["".join(draw.choice([" ", "　", "\x85", "\t", "a", "b", "é", ". "]) for _ in range(draw.randrange(60))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    space = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0x3000]))
+    for n in (-1, 0, 1, 4):
+        want = [[p.strip(space) for p in t.replace("\n", " ").split(". ") if len(p.split()) > n] for t in texts]
+        assert [r[0] for r in df.select(strings.sentences(F.col("t"), n)).collect()] == want
